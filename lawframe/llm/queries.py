@@ -26,7 +26,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op7_line_dedup, op8_mixing)}
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encoded
+
+    return encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, predict, prototypes
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return predict(docs, prototypes(docs.where(~held_out(F.col("doc_id")))))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_quality, op4_language, op7_line_dedup, op8_mixing)}
 
 ORACLE: dict[str, str] = {
     "op7_line_dedup": r"""
