@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .license import oracle as license_oracle
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +42,16 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, prototypes(docs.where(~held_out(F.col("doc_id")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_quality, op4_language, op7_line_dedup, op8_mixing)}
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import scan
+
+    return scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_license, op3_quality, op4_language, op7_line_dedup, op8_mixing)}
 
 ORACLE: dict[str, str] = {
+    "op2_license": license_oracle(),
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d),
