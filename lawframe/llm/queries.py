@@ -48,7 +48,13 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_license, op3_quality, op4_language, op7_line_dedup, op8_mixing)}
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dartminhash import classes
+
+    return classes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_license, op3_quality, op4_language, op5_near_dedup, op7_line_dedup, op8_mixing)}
 
 ORACLE: dict[str, str] = {
     "op2_license": license_oracle(),
