@@ -95,11 +95,17 @@ def _judged(docs: DataFrame, common: DataFrame, keep_share: float) -> DataFrame:
     return d.drop("_common", "_gone")
 
 
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs. The verdicts are written first: a filter on them would be
+    pushed below, and the whole expression of the figures put in its place many times over."""
+    return written(judge(docs, **options).select(*docs.columns, F.col("kept").alias("_kept")), "judged").where("_kept").select(*docs.columns)
+
+
 def without_common_lines(docs: DataFrame, share: float = 0.05, least_docs: int = 25, keep_share: float = 0.2) -> DataFrame:
     """The documents kept, with the columns of docs, their texts without the host's common lines."""
     common = written(common_lines(docs.select("source", "text"), share, least_docs), "common-lines")
     per_host = small(written(common.groupBy("host").agg(F.collect_list("line").alias("_common")), "host-lines")).withColumnRenamed("host", "_host")
-    kept = _judged(docs, common, keep_share).where("kept").select(*docs.columns)
+    kept = written(_judged(docs, common, keep_share).select(*docs.columns, F.col("kept").alias("_kept")), "judged").where("_kept").select(*docs.columns)
     d = kept.join(per_host, F.col("source").eqNullSafe(F.col("_host")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_common"), F.xxhash64(normalised(x)))), "\n")
     return d.withColumn("text", F.when(F.col("_common").isNotNull(), left).otherwise(F.col("text"))).select(*docs.columns)
