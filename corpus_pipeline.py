@@ -16,7 +16,7 @@ from lawframe.llm.common import documents, shared_dir
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; the others stay as they are."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.kept_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
