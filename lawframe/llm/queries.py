@@ -60,13 +60,19 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import without_repeats
+
+    return without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .aq import search
 
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_license, op3_quality, op4_language, op5_near_dedup, op6_pii, op7_line_dedup, op8_mixing, op10_additive_quantisation)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_license, op3_quality, op4_language, op5_near_dedup, op6_pii, op7_line_dedup, op8_mixing, op9_suffix_dedup, op10_additive_quantisation)}
 
 ORACLE: dict[str, str] = {
     "op10_additive_quantisation": """
