@@ -7,9 +7,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-SCHEMA = "kind string, identifier string, note boolean"
+SCHEMA = T.StructType().add("kind", "string").add("identifier", "string").add("note", "boolean")
 _SUB = r"(?P<sub>(?:\([0-9A-Za-z]+\))*)"
 _LAW = re.compile(r"(?P<kind>pub(?:lic)?|priv(?:ate)?|pvt)\.?\s*l(?:aw)?\.?\s*(?:no\.?\s*)?(?P<c>\d{1,3})\s*[-–—]\s*(?P<n>\d+)", re.I)
 _SECTION = re.compile(r"(?:§+|\bsec(?:tion|s)?\b\.?)\s*(?P<num>\d+[A-Za-z]?(?:-\d+)?)" + _SUB, re.I)
@@ -86,6 +87,6 @@ def osa(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 # Subtrees whose elements are no units, and elements that end a block of text.
@@ -102,6 +103,6 @@ class Links:
         yield from read_page(html).links
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_text(html: pd.Series) -> pd.Series:
     return html.map(lambda h: " ".join(" ".join(read_page(h).text).split()))
