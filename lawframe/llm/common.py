@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,13 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends there and a lost executor costs nothing of it."""
+    """df as a Parquet table in the shared folder, read again: lineage ends there and a lost executor costs nothing of it.
+
+    The driver first collects garbage, so that shuffle files of earlier written tables, which nothing reads again, leave the disks.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/lawframe/{name}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes the folder of a table made by `written`. Only for tables that no later job, nor a result still to be read, depends on."""
+    spark = table.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent() if table.inputFiles() else None
+    if folder is not None:
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it holds at most `most` rows, else as it is. df should be a written table, as it is counted."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
