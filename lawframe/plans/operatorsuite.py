@@ -104,6 +104,26 @@ def first_occurrence(t: Tables) -> DataFrame:
     return sequence.first_of(t("orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS used, o_orderstatus FROM orders) WHERE o_orderstatus = 'F' AND used <= 25""")
+def budgeted_limit(t: Tables) -> DataFrame:
+    """The running sum at a row that counts is its number among such rows; Spark keeps the first 25 of each partition before one task sees them."""
+    due = t("orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    return due.withColumn("used", F.row_number().over(Window.orderBy(F.col("o_orderkey").asc_nulls_last()))).where("used <= 25").select("o_orderkey")
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_partkey, CAST(year(o_orderdate) AS INT) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT a.l_partkey, count(DISTINCT b.l_orderkey) AS later FROM t a JOIN t b ON a.l_partkey = b.l_partkey AND (b.y > a.y OR (b.y = a.y AND b.l_orderkey > a.l_orderkey)) GROUP BY a.l_partkey""")
+def later_amendments(t: Tables) -> DataFrame:
+    """Without the self-join, whose rows grow with the square of a part's: every order of a part but its first is later than that one.
+
+    An order given twice with years lo < hi is later than itself, so the first counts too where its years differ.
+    """
+    dated = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("y", F.year("o_orderdate")).where("y IS NOT NULL AND l_partkey IS NOT NULL")
+    orders = dated.groupBy("l_partkey", "l_orderkey").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    parts = orders.groupBy("l_partkey").agg(F.count("*").alias("n"), F.min(F.struct("lo", "l_orderkey", "hi")).alias("first"))
+    later = F.col("n") - (F.col("first.lo") == F.col("first.hi")).cast("int")
+    return parts.select("l_partkey", later.alias("later")).where("later > 0")
+
+
 @query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1""")
 def newest_fold(t: Tables) -> DataFrame:
     item = F.struct("ts", "event_id")

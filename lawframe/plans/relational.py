@@ -31,12 +31,11 @@ SHARED: dict[str, str] = {
     "join_chain_left": "SELECT l_orderkey, l_linenumber, l_partkey, p_name, c_name, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN nation ON c_nationkey = n_nationkey",
     "left_join_flag": "SELECT p_partkey, count(l_orderkey) AS current_lines FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R' GROUP BY p_partkey",
     "cited_counts": "SELECT n_name, count(DISTINCT o_orderkey) AS orders, count(DISTINCT c_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
-    "later_amendments": "WITH t AS (SELECT l_orderkey, l_partkey, CAST(year(o_orderdate) AS INT) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT a.l_partkey, count(DISTINCT b.l_orderkey) AS later FROM t a JOIN t b ON a.l_partkey = b.l_partkey AND (b.y > a.y OR (b.y = a.y AND b.l_orderkey > a.l_orderkey)) WHERE a.l_orderkey < 500 GROUP BY a.l_partkey",
     "enacting_credit": "SELECT l_partkey, min(CASE WHEN l_returnflag = 'A' THEN l_orderkey END) AS credit, coalesce(min(CASE WHEN l_returnflag = 'A' THEN l_orderkey END) < coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_orderkey END), 9223372036854775807), false) AS before FROM lineitem GROUP BY l_partkey",
     "pending_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "stale_anti_join": "SELECT p_partkey FROM part LEFT ANTI JOIN lineitem ON l_partkey = p_partkey",
     "due_files": "WITH s AS (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id), h AS (SELECT c_custkey AS id, TIMESTAMP '2024-01-05 00:00:00' AS stored FROM customer WHERE c_custkey % 3 = 0) SELECT user_id FROM s LEFT JOIN h ON user_id = id WHERE stored IS NULL OR last_ts > stored",
-    "counterpart": "SELECT a.l_orderkey AS o1, b.l_orderkey AS o2, a.l_linenumber, count(*) AS pairs FROM lineitem a JOIN orders x ON a.l_orderkey = x.o_orderkey JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey JOIN lineitem b ON b.l_orderkey = y.o_orderkey AND a.l_linenumber = b.l_linenumber WHERE x.o_custkey < 50 GROUP BY a.l_orderkey, b.l_orderkey, a.l_linenumber",
+    "counterpart": "SELECT a.l_orderkey AS o1, b.l_orderkey AS o2, a.l_linenumber, count(*) AS pairs FROM lineitem a JOIN orders x ON a.l_orderkey = x.o_orderkey JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey JOIN lineitem b ON b.l_orderkey = y.o_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY a.l_orderkey, b.l_orderkey, a.l_linenumber",
     "fill_dates": "SELECT e.user_id, e.event_id, coalesce(CASE WHEN e.event_type <> 'click' THEN e.ts END, o.first_date) AS dated FROM events e LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_date FROM orders GROUP BY o_custkey) o ON e.user_id = o.o_custkey",
     "page_units": "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linenumber = 3 THEN 0 ELSE 1 END, " + LINE + ") AS position FROM lineitem",
     # aggregates
@@ -69,7 +68,6 @@ SHARED: dict[str, str] = {
     "neighbours": "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS following FROM orders",
     "rank_functions": "SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS r, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS d, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS q, cume_dist() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS cd FROM customer",
     "running_max": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS r FROM events) WHERE r = 1",
-    "budgeted_limit": "SELECT o_orderkey FROM (SELECT o_orderkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS used, o_orderstatus FROM orders WHERE o_orderkey < 2000) WHERE o_orderstatus = 'F' AND used <= 25",
     # sorts and limits
     "page_total": "SELECT o_orderkey, o_totalprice, n_total FROM (SELECT o_orderkey, o_totalprice, count(*) OVER () AS n_total, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'O') WHERE r > 40 AND r <= 60",
     "distinct_page": "SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_partkey LIMIT 20 OFFSET 10",
@@ -80,7 +78,7 @@ SHARED: dict[str, str] = {
     "set_except": f"SELECT DISTINCT o_custkey FROM orders WHERE {Y} = 1997 EXCEPT SELECT o_custkey FROM orders WHERE {Y} = 1996",
     "set_intersect": f"SELECT o_custkey FROM orders WHERE {Y} = 1997 INTERSECT SELECT o_custkey FROM orders WHERE {Y} = 1996",
     "set_compare": f"WITH a AS (SELECT DISTINCT o_custkey, o_orderstatus AS level FROM orders WHERE {Y} = 1996), b AS (SELECT DISTINCT o_custkey, o_orderstatus AS level FROM orders WHERE {Y} = 1997) SELECT coalesce(a.level, b.level) AS level, count(CASE WHEN a.o_custkey IS NOT NULL AND b.o_custkey IS NOT NULL THEN 1 END) AS common, count(CASE WHEN b.o_custkey IS NULL THEN 1 END) AS only_a, count(CASE WHEN a.o_custkey IS NULL THEN 1 END) AS only_b FROM a FULL OUTER JOIN b ON a.o_custkey = b.o_custkey AND a.level = b.level GROUP BY 1",
-    "snapshot_diff": "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 900), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey < 905) (SELECT 'gone' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT 'new' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))",
+    "snapshot_diff": "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders) (SELECT 'gone' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT 'new' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))",
     "norm_dedupe": "SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY lower(replace(p_name, '.', '')) ORDER BY p_partkey) AS r FROM part) WHERE r = 1",
     "union_views": "SELECT CAST(doc_id AS BIGINT) AS id, 'document' AS kind, CAST(lang AS VARCHAR(20)) AS lang FROM documents UNION ALL SELECT page_id, 'page', NULL FROM pages",
     # expressions
@@ -105,7 +103,7 @@ SHARED: dict[str, str] = {
     "cite_resolve": "WITH c AS (SELECT o_orderkey, concat(CAST(year(o_orderdate) AS INT), '-', o_orderkey) AS cite FROM orders), q AS (SELECT concat(1995 + c_custkey % 7, '-', c_custkey) AS asked FROM customer) SELECT asked, o_orderkey, o_orderkey IS NOT NULL AS found FROM q LEFT JOIN c ON asked = cite",
     "listing_parse": "SELECT page_id, regexp_extract(name, '^([A-Z]+)-([0-9]+)', 1) AS collection, try_cast(regexp_extract(name, '-([0-9]+)publ', 1) AS INT) AS congress, try_cast(regexp_extract(name, 'publ([0-9]+)', 1) AS INT) AS number FROM (SELECT page_id, concat('PLAW-', 113 + page_id % 7, 'publ', page_id, '.xml') AS name FROM pages)",
     "bounded_tree": "WITH n AS (SELECT n_regionkey, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey) SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN n ON nation.n_regionkey = n.n_regionkey WHERE c <= 300 OR n_nationkey = 7",
-    "cited_by": "WITH e AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem WHERE l_partkey < 200) SELECT l_partkey, count(DISTINCT l_suppkey) AS sections, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS a, count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS n, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS r FROM e GROUP BY l_partkey",
+    "cited_by": "WITH e AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem) SELECT l_partkey, count(DISTINCT l_suppkey) AS sections, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS a, count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS n, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS r FROM e GROUP BY l_partkey",
     "currency_status": "WITH c AS (SELECT l_partkey, o_orderkey, o_orderdate, 1 AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A' UNION ALL SELECT l_partkey, o_orderkey, o_orderdate, 2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND NOT (o_orderstatus IS NOT DISTINCT FROM 'P')), f AS (SELECT c.* FROM c JOIN part ON p_partkey = l_partkey WHERE o_orderdate > TIMESTAMP '2000-06-01 00:00:00') SELECT p_partkey, CASE WHEN count(f.kind) > 0 THEN 'known_amended' WHEN p_size > 25 THEN 'no_record' ELSE 'unknown' END AS status, coalesce(bool_or(f.kind = 1), false) AS by_credit, coalesce(bool_or(f.kind = 2), false) AS by_classification, max(f.o_orderdate) AS latest FROM part LEFT JOIN f ON f.l_partkey = p_partkey GROUP BY p_partkey, p_size",
     "error_split": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'bad' ELSE 'good' END AS side FROM events",
     "search_facets": "SELECT lang, source, count(*) AS n FROM documents WHERE lower(text) LIKE '%license%' GROUP BY lang, source",
