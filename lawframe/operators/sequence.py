@@ -56,7 +56,20 @@ def number_conflicts(claims: DataFrame, series: str, number: str, seq: str) -> D
 
 
 def folded(order_key: Column, items: Column, later) -> Column:
-    """Newest by a partial order: a fold over the items in their order that changes only to what `later` says is later."""
+    """Newest by a partial order: a fold over the items in their order that changes only to what `later` says is later.
+
+    A group's items meet in one task, as a partial order allows no partial aggregate; for a total one see `newest`.
+    """
     rows = F.array_sort(F.collect_list(F.struct(order_key.alias("k"), items.alias("v"))))
     values = F.transform(rows, lambda r: r["v"])
-    return F.aggregate(F.slice(values, 2, 1_000_000), F.get(values, F.lit(0)), lambda a, x: F.when(later(x, a), x).otherwise(a))
+    return F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), lambda a, x: F.when(later(x, a), x).otherwise(a))
+
+
+def newest(at: Column, order_key: Column, item: Column) -> Column:
+    """`folded` with a later `at` as later: the item of the greatest `at`, of equal ones that of the smallest (long) order_key, in partial aggregates.
+
+    As in the fold, nothing is later than a first item without `at`, and no other item without `at` is later than any.
+    """
+    greatest = F.max_by(item, F.when(at.isNotNull(), F.struct(at, -order_key)))
+    first = F.min_by(F.struct(at.alias("at"), item.alias("item")), order_key)
+    return F.when(first["at"].isNull(), first["item"]).otherwise(greatest)

@@ -126,9 +126,7 @@ def later_amendments(t: Tables) -> DataFrame:
 
 @query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1""")
 def newest_fold(t: Tables) -> DataFrame:
-    item = F.struct("ts", "event_id")
-    best = t("events").groupBy("user_id").agg(sequence.folded(F.col("event_id"), item, lambda x, a: x["ts"] > a["ts"]).alias("b"))
-    return best.select("user_id", F.col("b.event_id").alias("event_id"))
+    return t("events").groupBy("user_id").agg(sequence.newest(F.col("ts"), F.col("event_id"), F.col("event_id")).alias("event_id"))
 
 
 @query("""SELECT e.event_id, (SELECT max(o_orderkey) FROM orders o WHERE o.o_custkey = e.user_id AND o.o_orderdate = (SELECT max(o_orderdate) FROM orders p WHERE p.o_custkey = e.user_id AND p.o_orderdate <= e.ts)) AS o_orderkey FROM events e""")
