@@ -4,10 +4,13 @@ A unit vector is coded as a sum of M codewords, one of each of M full-dimensiona
 `sample` vectors: k-means on the residuals, codebook after codebook, then beam-search codes and least squares for all
 codewords at once, `refits` times. Encoding of every row keeps the `beam` best partial sums from codebook to codebook.
 The index holds a row's codes and the norm of its reconstruction. A query's inner products with all codewords make a lookup
-table; a candidate's score is the sum of M entries over its stored norm. The `rerank` best of a query are scored
-exactly on the original vectors, in double precision.
+table; a candidate's score is the sum of M entries over its stored norm. The `rerank` best of a query, and all that tie with
+the last of them, are scored exactly on the original vectors, in double precision.
 
-Queries are dealt in blocks against chunks of the index; what leaves a block and chunk is `rerank` rows per query.
+Equal vectors are searched as one, by their smallest vec_id, and the best found are given back their smallest ids.
+
+Queries are dealt in blocks against chunks of the index; what leaves a block and chunk is `rerank` + 1 rows per query (the
+query's own vector may be one of them), and the ties of the last.
 """
 
 from __future__ import annotations
@@ -108,7 +111,8 @@ def index(vectors: DataFrame, model: Codebooks, beam: int = 4) -> DataFrame:
 
 
 def nearby(queries: DataFrame, coded: DataFrame, model: Codebooks, rerank: int = 500, block: int = 1024, chunk: int = 65536) -> DataFrame:
-    """(query_id, vec_id): for each query (query_id, embedding) the `rerank` candidates with the best lookup-table scores."""
+    """(query_id, vec_id): for each query (query_id, embedding) the `rerank` + 1 rows with the best lookup-table scores, and the ties of the last."""
+    most = rerank + 1
     blocks = max(1, -(-queries.count() // block))
     chunks = max(1, -(-coded.count() // chunk))
     q = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
@@ -128,17 +132,22 @@ def nearby(queries: DataFrame, coded: DataFrame, model: Codebooks, rerank: int =
             for i in range(1, m):
                 near = near + table[i][codes[i]]
             near = near / norms
-            near[ids == qid] = -np.inf
-            top = np.argpartition(-near, rerank - 1)[:rerank] if len(near) > rerank else np.arange(len(near))
-            top = top[ids[top] != qid]
+            top = np.flatnonzero(near >= np.partition(near, -most)[-most]) if len(near) > most else np.arange(len(near))
             out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[top], "near": near[top]}))
         return pd.concat(out)
 
     found = q.groupBy("b", "c").cogroup(x.groupBy("b", "c")).applyInPandas(score, "query_id long, vec_id long, near double")
     if chunks == 1:
         return found.select("query_id", "vec_id")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
-    return found.withColumn("r", best).where(F.col("r") <= rerank).select("query_id", "vec_id")
+    best = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("near")))
+    return found.withColumn("r", best).where(F.col("r") <= most).select("query_id", "vec_id")
+
+
+def grouped(vectors: DataFrame, k: int) -> DataFrame:
+    """(vec_id, embedding, lead): of each set of equal vectors the rows of its k smallest ids; lead is the smallest."""
+    same = Window.partitionBy("embedding")
+    d = vectors.withColumn("r", F.dense_rank().over(same.orderBy("vec_id"))).where(F.col("r") <= k)
+    return d.withColumn("lead", F.min("vec_id").over(same)).drop("r")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -152,14 +161,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = 10_00
     """
     spark = vectors.sparkSession
     v = written(usable(vectors), "vectors")
-    model = train(v, sample)
+    members = written(grouped(v, k + 1), "aq-members")  # k others, should the query be one of them
+    leads = members.where("vec_id = lead").dropDuplicates(["vec_id"])
+    model = train(leads, sample)
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = v.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
-    found = nearby(queries, index(v, model), model, rerank)
-    sided = v.withColumn("norm", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))))
-    pairs = found.join(sided, "vec_id").join(sided.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("qn")), "query_id")
-    scored = pairs.select("query_id", "vec_id", (_dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn"))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    found = nearby(queries, index(leads, model), model, rerank)
+    normed = lambda d: d.withColumn("norm", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))))
+    pairs = found.join(normed(leads.select("vec_id", "embedding")), "vec_id").join(normed(queries).select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("qn")), "query_id")
+    scored = pairs.select("query_id", F.col("vec_id").alias("lead"), (_dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn"))).alias("score"))
+    best = lambda at: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), at))
+    sets = scored.withColumn("r", best("lead")).where(F.col("r") <= k + 1).drop("r")  # each holds a row, so no further set can hold one of the k
+    rows = sets.join(members.select("lead", "vec_id"), "lead").where("vec_id <> query_id")
+    return rows.withColumn("rank", best("vec_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
