@@ -1,7 +1,10 @@
 """License scans: phrases that stand in a text, and an exact set-similarity join of text blocks with licence templates.
 
-Blocks are the lines of a text, sets of words (see WORDS; A-Z in lower case). A block meets a template if it holds at least
-`threshold` of the template's distinct words. The join is exact and filtered:
+Blocks are sets of words (see WORDS; A-Z in lower case): the lines of a text, and around each line break, for a notice
+wrapped over lines, the words before and after it that a run across it can hold. A run for a template of n words has
+n / threshold words at most, so a template's block has n / threshold - 1 words on each side, whatever further breaks lie
+among them. A block meets a template if it holds at least `threshold` of the template's distinct words. The join is exact
+and filtered:
 - the templates' words are ordered by how many documents hold them, rarest first (counted over the whole table);
 - prefix: with need = ceil(threshold * size), a block that meets a template holds one of its size - need + 1 first words;
 - length: the block holds at least `need` words of the templates' vocabulary;
@@ -20,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: BREAKS without the line feed.
+INNER_BREAKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases and labels of the base scan.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -52,6 +57,11 @@ def spaced(low: Column) -> Column:
     return F.trim(F.regexp_replace(low, BREAKS, " "))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({w for _, t in templates for w in words_of(t)})
 
@@ -77,19 +87,23 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFr
     for label, text in templates:
         ranks = sorted({rank[w] for w in words_of(text)})
         need = max(1, math.ceil(exact * len(ranks)))
-        rows.append((label, ranks, ranks[: len(ranks) - need + 1], need))
+        rows.append((label, ranks, ranks[: len(ranks) - need + 1], need, max(1, math.ceil(len(words_of(text)) / exact) - 1)))
     array = lambda xs: F.array(*map(F.lit, xs))
-    table = F.array(*(F.struct(F.lit(lb).alias("label"), array(rs).alias("ranks"), array(pre).alias("prefix"), F.lit(need).alias("need")) for lb, rs, pre, need in rows))
-    gate = r"(?<![0-9a-z\x80-\x{10FFFF}])(?:" + "|".join(sorted({order[i - 1] for _, _, pre, _ in rows for i in pre})) + r")(?![0-9a-z\x80-\x{10FFFF}])"
+    table = F.array(*(F.struct(F.lit(lb).alias("label"), array(rs).alias("ranks"), array(pre).alias("prefix"), F.lit(need).alias("need"), F.lit(side).alias("side")) for lb, rs, pre, need, side in rows))
+    gate = r"(?<![0-9a-z\x80-\x{10FFFF}])(?:" + "|".join(sorted({order[i - 1] for _, _, pre, *_ in rows for i in pre})) + r")(?![0-9a-z\x80-\x{10FFFF}])"
 
     d = docs.withColumn("_low", F.lower(F.coalesce("text", F.lit(""))))
     d = d.withColumn("_norm", spaced(F.col("_low")))
     lines = F.when(F.col("_low").rlike(gate), F.filter(F.split("_low", "\n"), lambda x: x.rlike(gate)))
-    ranked = lambda x: F.array_sort(F.filter(F.transform(F.array_distinct(F.split(spaced(x), " ")), lambda w: F.array_position(array(order), w).cast("int")), lambda r: r > 0))
+    rank_of = lambda w: F.array_position(array(order), w).cast("int")
+    ranked = lambda x: F.array_sort(F.filter(F.transform(F.array_distinct(F.split(spaced(x), " ")), rank_of), lambda r: r > 0))
     d = d.withColumn("_blocks", F.transform(lines, ranked))
 
-    def met(block: Column) -> Column:
+    def met(block_of) -> Column:
         def share(t: Column) -> Column:
+            return once(block_of(t), lambda block: shared(t, block))
+
+        def shared(t: Column, block: Column) -> Column:
             first = F.array_min(F.array_intersect(t["prefix"], block))
             may = (F.size(block) >= t["need"]) & (F.size(block) - F.array_position(block, first) + 1 >= t["need"])
             both = F.size(F.array_intersect(t["ranks"], block))
@@ -97,7 +111,23 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFr
 
         return F.filter(F.transform(table, share), lambda m: m["share"].isNotNull())
 
-    d = d.withColumn("_met", F.coalesce(F.flatten(F.transform("_blocks", met)), F.array().cast("array<struct<label:string,share:double>>")))
+    def across(ranks: Column, at: Column, side: Column) -> Column:
+        """The ranks of up to `side` words on each side of the break after `at` words."""
+        return F.slice(ranks, F.greatest(at - side, F.lit(0)) + 1, F.least(at, side) + side)
+
+    def wrapped(parts: Column) -> Column:
+        """What the blocks around the line breaks meet; parts: the words, with a line feed for each run of breaks between them."""
+        ranks = F.transform(F.filter(parts, lambda x: x != "\n"), rank_of)
+        places = F.filter(F.transform(parts, lambda x, i: F.when(x == "\n", i)), lambda i: i.isNotNull())
+        firsts, most = array(sorted({i for _, _, pre, *_ in rows for i in pre})), F.lit(max(r[-1] for r in rows))
+        held = lambda rs, at: lambda t: F.array_sort(F.filter(F.array_distinct(across(rs, at, t["side"])), lambda r: r > 0))
+        near = lambda rs: F.filter(F.transform(places, lambda p, i: p - i), lambda at: F.arrays_overlap(across(rs, at, most), firsts))
+        return once(ranks, lambda rs: F.flatten(F.transform(near(rs), lambda at: met(held(rs, at)))))
+
+    parts = F.split(F.regexp_replace(F.regexp_replace(F.col("_low"), INNER_BREAKS, " "), " *\n[ \n]*", " \n "), " ")
+    spans = F.when(F.col("_low").rlike(gate) & F.contains("_low", F.lit("\n")), once(F.filter(parts, lambda x: x != ""), wrapped))
+    none = F.array().cast("array<struct<label:string,share:double>>")
+    d = d.withColumn("_met", F.concat(F.coalesce(F.flatten(F.transform("_blocks", lambda b: met(lambda t: b))), none), F.coalesce(spans, none)))
     padded = F.concat(F.lit(" "), F.col("_norm"), F.lit(" "))
     places, firsts, lasts, names = [], [], [], []
     n_words = F.when(F.col("_norm") == "", F.lit(0)).otherwise(F.length("_norm") - F.length(F.replace(F.col("_norm"), F.lit(" "))) + 1)
@@ -117,7 +147,7 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFr
 
 
 def oracle(threshold: float = 0.8, templates=TEMPLATES) -> str:
-    """DuckDB SQL for the columns of `scan`: every line against every template."""
+    """DuckDB SQL for the columns of `scan`, where no notice is wrapped: every line against every template."""
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
     values = ", ".join(f"('{lb}', {quoted(sorted(set(words_of(t))))}, {max(1, math.ceil(Fraction(str(threshold)) * len(set(words_of(t)))))})" for lb, t in templates)
     breaks = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
