@@ -11,6 +11,7 @@ partition leave it as one vector per language, so what is gathered is languages
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,9 +36,9 @@ def trigram_vectors() -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def symbols() -> np.ndarray:
-    """The symbol of each code unit below 65536. Letters beyond a to z share the other symbols by their code."""
-    table = np.zeros(65536, np.uint8)
-    for u in range(65536):
+    """The symbol of each code point. Letters beyond a to z share the other symbols by their code."""
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    for u in range(len(table)):
         ch = chr(u)
         if ch.isalpha():
             low = ord(ch.lower()[0])
@@ -47,8 +48,8 @@ def symbols() -> np.ndarray:
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams and their counts; runs of what is no letter count as one symbol. No letter: nothing."""
-    units = np.frombuffer(text.encode("utf-16-le", "replace"), "<u2")
-    s = symbols()[units]
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    s = symbols()[points]
     s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])] if len(s) else s
     if not s.any():
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
