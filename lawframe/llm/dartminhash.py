@@ -8,9 +8,17 @@ the earliest. Two texts agree in a coordinate with the probability of their weig
 (sum of minima / sum of maxima). Where a coordinate stays empty, the text's ranks are doubled until none is.
 
 Bands of R coordinates propose candidates; every link is confirmed by the exact weighted Jaccard of the whole texts. With
-24 bands of 4, a pair at 0.8 is missed with probability 4e-6, and less above. Within a bucket, members are first compared with one
-centre each (different centres in each round), so a large group makes one pair per member and band. Only what is still in
-different components of a bucket after that is compared pair by pair, without a cap.
+24 bands of 4, a pair at 0.8 is missed with probability 4e-6, and less above. No bucket is joined with itself:
+
+1. Centres. The member of a bucket that meets most texts over all its buckets is the centre; the others are compared with
+   it, which makes one pair per member. Members that don't reach it pick a centre of their own, as long as that still links
+   many (`rounds`).
+2. The rest. What is in different components of one bucket after that goes through an exact prefix and position filter:
+   shingles are ordered by how many of these texts hold them, rarest first; two texts at `least` share a shingle
+   in the rarest part of both, at places from which enough weight is left for the overlap that they need. Variants of one
+   template share only their common shingles, which come last, so that few of their pairs are left to compare.
+
+Shingle sets, not texts, travel to the comparisons: once for each member of a pair and once for each thousand of a centre.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, removed, small, written
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
@@ -32,11 +40,13 @@ _M = np.uint64(0xBF58476D1CE4E5B9)
 _N = np.uint64(0x94D049BB133111EB)
 _G = np.uint64(0x9E3779B97F4A7C15)
 _P = np.uint64(0x100000001B3)
+#: Ids (of 8 bytes, or short strings) up to which those of texts in buckets may be broadcast.
+MOST_IDS = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
-    x = x + _G
+    x = np.atleast_1d(x) + _G
     x = (x ^ (x >> np.uint64(30))) * _M
     x = (x ^ (x >> np.uint64(27))) * _N
     return x ^ (x >> np.uint64(31))
@@ -65,10 +75,10 @@ def darts(x: np.ndarray, weight: np.ndarray, doc: np.ndarray, reach: np.ndarray)
     keys, ranks, ids = [], [], []
     region, low, width = 0, 0.0, 1.0
     while len(x):
-        seed = mixed(x + np.uint64(region) * _M)
+        seed = mixed(x + np.uint64(region * int(_M) % 2**64))
         at, rank, n = np.arange(len(x)), np.zeros(len(x)), 0
         while len(at):
-            h = mixed(seed[at] + np.uint64(n) * _N)
+            h = mixed(seed[at] + np.uint64(n * int(_N) % 2**64))
             rank = rank - np.log(unit(h)) / width
             inside = rank <= reach[at]
             at, rank, h = at[inside], rank[inside], h[inside]
@@ -130,32 +140,64 @@ def banded(docs: DataFrame) -> DataFrame:
                 bands = [r.view(np.int64) if len(t) else np.zeros(0, np.int64) for r, t in zip(np.ascontiguousarray(h), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
 
-    return words.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
+    return words.mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>")
+
+
+#: Members of one centre that are compared in one group of rows.
+SHARE = 1000
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(id, n, s, c): a text's shingles, sorted, as 64-bit integers; their counts as 32-bit integers, null if all are 1; n is the sum of counts."""
+    words = docs.select(F.col("doc_id").alias("id"), word_hashes(F.col("text")).alias("w"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                b = batch.slice(start, 512)
+                found = [shingles(w.values.to_numpy(zero_copy_only=False).view(np.uint64)) for w in b.column("w")]
+                counts = [c.astype(np.int32).tobytes() if len(c) and c.max() > 1 else None for _, c in found]
+                columns = [b.column("id"), pa.array([int(c.sum()) for _, c in found], pa.int64()), pa.array([x.tobytes() for x, _ in found], pa.large_binary()).cast(pa.binary()), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s", "c"])
+
+    return words.mapInArrow(cut, f"id {kind}, n long, s binary, c binary")
+
+
+def _counts(c: bytes | None, n: int) -> np.ndarray:
+    return np.ones(n, np.int64) if c is None else np.frombuffer(c, np.int32).astype(np.int64)
 
 
-def links(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard is at least `least`, counted on the whole texts of docs (doc_id, text)."""
-    d = docs.select("doc_id", "text")
-    with_b = pairs.join(d.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(d.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    hashed = both.select("a", "b", word_hashes(F.col("text_a")).alias("wa"), word_hashes(F.col("text_b")).alias("wb"))
+def links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard is at least `least`; sets as by `shingle_sets`.
+
+    A centre a comes once per group of about SHARE of its pairs, ahead of them, so that a hot centre is dealt over many tasks.
+    """
+    kind = sets.schema["id"].dataType.simpleString()
+    centres = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("groups"))
+    group = F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")
+    asked = pairs.join(centres, "a").select("a", group.alias("g"), F.col("b").alias("id"))
+    members = asked.join(sets, "id").select("a", "g", F.col("id").alias("b"), "n", "s", "c")
+    ahead = centres.withColumnRenamed("a", "id").join(sets, "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast(kind).alias("b"), "n", "s", "c")
+    dealt = members.unionByName(ahead).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sa, ca = None, None, None
+        sa, ca, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            ids, wa, wb = batch.column("a").to_pylist(), batch.column("wa"), batch.column("wb")
-            for i, a in enumerate(ids):
-                if a != last:
-                    sa, ca = shingles(wa[i].values.to_numpy(zero_copy_only=False))
-                    last, total = a, ca.sum()
-                sb, cb = shingles(wb[i].values.to_numpy(zero_copy_only=False))
+            b, n, s, c = (batch.column(x) for x in ("b", "n", "s", "c"))
+            for i in range(batch.num_rows):
+                sb = np.frombuffer(s[i].as_buffer(), np.uint64)
+                cb = _counts(c[i].as_py(), len(sb))
+                if not b[i].is_valid:
+                    sa, ca, total = sb.copy(), cb, n[i].as_py()
+                    continue
                 at = np.minimum(np.searchsorted(sa, sb), len(sa) - 1)
-                common = np.minimum(ca[at], cb)[sa[at] == sb].sum()
-                keep[i] = common >= least * (total + cb.sum() - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+                common = int(np.minimum(ca[at], cb)[sa[at] == sb].sum())
+                keep[i] = common >= least * (total + n[i].as_py() - common) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column("a"), b], ["a", "b"]).filter(pa.array(keep))
 
-    return hashed.mapInArrow(check, "a long, b long")
+    return dealt.select("a", "b", "n", "s", "c").mapInArrow(check, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,60 +212,146 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, labels["id"] == near["a"]).select("id", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("label").alias("lower"))
         new = written(step.join(jump, "low", "left").select("id", F.least("low", "lower").alias("label"), (F.least("low", "lower") < F.col("label")).alias("moved")), "labels")
+        removed(labels)
         labels = new.select("id", "label")
         if not new.where("moved").limit(1).count():
+            removed(both)
             return labels
 
 
-def classes(docs: DataFrame, least: float = 0.8, rounds: int = 4) -> DataFrame:
+class Labels:
+    """The components found so far: (id, label), without rows for texts that no link has yet."""
+
+    def __init__(self):
+        self.table: DataFrame | None = None
+
+    def add(self, hits: DataFrame) -> None:
+        """Joins the components that the links (a, b) meet. Their labels stand for them, so old links aren't walked again."""
+        if not hits.limit(1).count():
+            return
+        old = self.table
+        if old is None:
+            self.table = components(hits)
+            return
+        named = self.of(self.of(hits, "a", "a"), "b", "b").where("a <> b")
+        merged = components(named)
+        moved = old.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        fresh = merged.join(old.select("id"), "id", "left_anti")
+        self.table = written(moved.unionByName(fresh), "labels")
+        removed(old), removed(merged)
+
+    def of(self, rows: DataFrame, at: str, name: str) -> DataFrame:
+        """rows with the label of column `at` as column `name`; a text without links is its own label."""
+        if self.table is None:
+            return rows.withColumn(name, F.col(at))
+        own = self.table.select(F.col("id").alias("_of"), F.col("label").alias("_label"))
+        return rows.join(own, rows[at] == own["_of"], "left").withColumn(name, F.coalesce("_label", at)).drop("_of", "_label")
+
+
+def _centre_rounds(buckets: DataFrame, sets: DataFrame, labels: Labels, least: float, rounds: int, worth: float) -> None:
+    """Compares the members of each bucket (bucket, rep, deg) with its centres, as long as a round links a share `worth` of its pairs."""
+    rest = buckets
+    for _ in range(rounds):
+        named = labels.of(rest, "rep", "label")
+        centres = named.groupBy("bucket").agg(F.max(F.struct("deg", "rep", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        centres = centres.select("bucket", F.col("m.rep").alias("centre"), F.col("m.label").alias("centre_label"))
+        facing = written(named.join(centres, "bucket").where("label <> centre_label"), "facing")
+        pairs = written(facing.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+        hits = written(links(pairs, sets, least), "links")
+        asked, found = pairs.count(), hits.count()
+        labels.add(hits)
+        removed(pairs), removed(hits)
+        if rest is not buckets:
+            removed(rest)
+        if found <= worth * asked:
+            removed(facing)
+            return
+        # who still isn't with the centre goes on
+        now = labels.of(labels.of(facing.select("bucket", "rep", "deg", "centre"), "rep", "label"), "centre", "centre_label")
+        rest = written(now.where("label <> centre_label").select("bucket", "rep", "deg"), "rest")
+        removed(facing)
+
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of sets (id, n, s, c) that can reach `least` and whose labels (id, label) differ, by prefixes and positions.
+
+    Shingles are ordered by (texts that hold them, shingle). An entry of a text is a shingle with `rem`, the weight from
+    it to the end of the text's order; entries with rem < least * n can't be the first that a pair at `least` shares.
+    """
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = np.frombuffer(batch.column("s")[i].as_buffer(), np.int64)
+                c = _counts(batch.column("c")[i].as_py(), len(s))
+                ids, n = pa.array([batch.column("id")[i].as_py()] * len(s), batch.column("id").type), pa.array(np.full(len(s), c.sum()))
+                yield pa.RecordBatch.from_arrays([ids, n, pa.array(s), pa.array(c)], ["id", "n", "t", "c"])
+
+    tokens = written(sets.mapInArrow(rows, f"id {kind}, n long, t long, c long"), "tokens")
+    # a shingle of one text joins nothing and comes first in every order: only its weight counts
+    held = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    shared = tokens.join(held, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t", "c"))).alias("x"), F.sum("c").alias("weight"))
+    start = F.struct(F.col("weight").alias("rem"), F.array().cast("array<struct<t:long,rem:long>>").alias("out"))
+    step = lambda a, x: F.struct((a["rem"] - x["c"]).alias("rem"), F.when(a["rem"] >= F.lit(least) * F.col("n") - 1e-9, F.concat(a["out"], F.array(F.struct(x["t"].alias("t"), a["rem"].alias("rem"))))).otherwise(a["out"]).alias("out"))
+    # the lists end within the first tenths of a text's shingles
+    most = F.col("weight") - F.lit(least) * F.col("n") + 1
+    front = F.slice("x", F.lit(1), F.least(F.size("x"), F.greatest(F.ceil(most), F.lit(0)).cast("int")))
+    entries = shared.withColumn("x", front).select("id", "n", F.explode(F.aggregate("x", start, step, lambda a: a["out"])).alias("e")).select("id", "n", "e.t", "e.rem")
+    entries = written(entries.join(labels, "id"), "entries")
+    removed(tokens)
+    reach = lambda rem, n: (1 + least) * rem >= least * n - 1e-9
+    bounds = entries.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rem").alias("top"), F.min("n").alias("short")).where("lo <> hi").drop("lo", "hi")
+    live = entries.join(bounds, "t").where(reach(F.least("rem", "top"), F.col("n") + F.col("short"))).select("t", "id", "n", "rem", "label")
+    live = written(live, "live")
+    mixed_ = live.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t")
+    live = live.join(mixed_, "t", "left_semi")
+    other = live.select("t", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("rem").alias("rem_b"), F.col("label").alias("label_b"))
+    joined = live.withColumnRenamed("id", "a").join(other, "t").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & reach(F.least("rem", "rem_b"), F.col("n") + F.col("n_b")))
+    out = written(joined.select("a", "b").distinct(), "rest-pairs")
+    removed(entries)
+    return out
+
+
+def classes(docs: DataFrame, least: float = 0.8, rounds: int = 6, worth: float = 0.05) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of the document's class, a row per doc_id.
 
     Classes are the connected components of links at `least` or more; texts with the same words in the same order are in
     one class, whatever their case and white space. A text without words (null, empty) is a class of its own. Rows that
-    repeat a doc_id should be one document; of different texts under one doc_id any may be compared.
+    repeat a doc_id should be one document; of different texts under one doc_id each is compared, and they share a class.
+    A null doc_id has no class and no row. Other columns are not read. No rows: no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     signed = written(banded(docs), "bands")
     keyed = signed.where(F.col("key").isNotNull())
     reps = written(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "reps")
-    buckets = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    sizes = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = written(buckets.join(sizes, ["band", "bucket"]), "buckets")
-    label, found = None, []
-    spark, tried = docs.sparkSession, None
-    for r in range(rounds + 1):
-        members = buckets.withColumn("label", F.col("rep")) if label is None else buckets.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        open_ = members.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("rep", F.xxhash64("rep", F.lit(r)) if r else F.col("rep")).alias("centre"), F.min_by("label", F.xxhash64("rep", F.lit(r)) if r else F.col("rep")).alias("centre_label")).where("lo <> hi")
-        rest = members.join(open_, ["band", "bucket"])
-        if r < rounds:
-            pairs = rest.where("label <> centre_label").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        else:
-            other = rest.select("band", "bucket", F.col("rep").alias("b"), F.col("label").alias("label_b"))
-            pairs = rest.join(other, ["band", "bucket"]).where("rep < b AND label <> label_b").select(F.col("rep").alias("a"), "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if not pairs.limit(1).count():
-            if r < rounds:
-                continue
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        hits = written(links(pairs, docs, least), "links")
-        found.append(hits)
-        all_links = found[0]
-        for h in found[1:]:
-            all_links = all_links.union(h)
-        if hits.limit(1).count():
-            label = components(all_links)
-    out = signed.select("doc_id", "key").join(reps.select("key", "rep"), "key", "left")
-    if label is not None:
-        out = out.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep", "doc_id").alias("class_id"))
-    else:
-        out = out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"))
+    places = reps.select("rep", F.explode("bands").alias("bucket"))
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(places.join(sizes, "bucket"), "members")
+    met = written(members.groupBy("rep").agg(F.sum("size").alias("deg")), "met")
+    buckets = written(members.join(met, "rep").select("bucket", "rep", "deg"), "buckets")
+    removed(members)
+    involved = docs.join(small(met.select(F.col("rep").alias("doc_id")), MOST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(shingle_sets(involved), "sets")
+    labels = Labels()
+    _centre_rounds(buckets, sets, labels, least, rounds, worth)
+    named = labels.of(buckets, "rep", "label")
+    mixed_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = written(named.join(mixed_, "bucket", "left_semi").select(F.col("rep").alias("id"), "label").distinct(), "open")
+    pairs = prefix_pairs(sets.join(open_.select("id"), "id", "left_semi"), open_, least)
+    labels.add(written(links(pairs, sets, least), "links"))
+    removed(sets), removed(buckets)
+    out = signed.select("doc_id", "key").join(reps.select("key", "rep"), "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    # several texts under one doc_id tie their classes
+    out = labels.of(out, "rep", "class_id")
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id is their class's smallest; repeated rows of it come once."""
+    """The rows of docs whose doc_id is their class's smallest, with the columns of docs; repeated rows of it come once.
+
+    Rows with a null doc_id belong to no class and all stay. Texts without words are classes of their own and stay.
+    """
     kept = classes(docs, least).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return one.unionByName(docs.where("doc_id IS NULL"))
