@@ -15,32 +15,37 @@ from lawframe.llm.common import documents, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; the others stay as they are."""
-    return quality.kept_documents(docs)
+    """Documents that the quality rules reject go; the others lose the lines that too many documents of their source share.
+
+    A null or empty text is rejected. A null source is a source of its own. Repeated rows are judged alike and stay or go
+    together. n_chars follows the text. No rows: no rows.
+    """
+    return quality.without_common_lines(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them only. n_chars follows the text."""
-    from pyspark.sql import functions as F
+    """Lines that many documents share stay in the one with the largest doc_id only. n_chars follows the text.
 
-    left = linededup.drop_repeats(docs).withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    All rows stay; a null text becomes an empty one. Rows with one doc_id are one document, a null one never keeps a shared line.
+    """
+    return linededup.without_shared_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays, that with the smallest doc_id.
+
+    Rows with a null doc_id, and texts without words, stay. Of rows that repeat a doc_id one stays.
+    """
     return dartminhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: 0 to 2 times. Those without words or with a null doc_id drop out."""
     return mixing.copies(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each document of the mix."""
+    """(doc_id, n_tokens, ids) of each document of the mix, a row for each time it is taken; a null text has no ids."""
     import public_tokenizers
 
     return bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -56,12 +56,9 @@ class Codebooks:
         self = cls(np.stack(books))
         for _ in range(refits):
             codes, _ = self.encode(x, beam)
-            columns = (codes + np.arange(m) * k).astype(np.int64)
-            gram, right = np.zeros((m * k, m * k)), np.zeros((m * k, x.shape[1]))
-            for i in range(m):
-                np.add.at(right, columns[:, i], x)
-                for j in range(m):
-                    gram += np.bincount(columns[:, i] * (m * k) + columns[:, j], minlength=(m * k) ** 2).reshape(m * k, m * k)
+            chosen = np.zeros((len(x), m * k), np.float32)
+            np.put_along_axis(chosen, codes + np.arange(m) * k, 1, axis=1)
+            gram, right = (chosen.T @ chosen).astype(np.float64), chosen.T.astype(np.float64) @ x
             solved = np.linalg.solve(gram + 1e-3 * np.eye(m * k), right + 1e-3 * self.books.reshape(m * k, -1))
             self.books = solved.reshape(m, k, -1)
         return self
@@ -168,7 +165,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = 10_00
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = v.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
     found = nearby(queries, index(leads, model), model, rerank)
-    normed = lambda d: d.withColumn("norm", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))))
+    # cosines don't change with a power of two, and the squares of scaled vectors neither overflow nor vanish
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("embedding", F.abs)))))
+    scaled = lambda d: d.withColumn("scale", scale).withColumn("embedding", F.transform("embedding", lambda x: x / F.col("scale"))).drop("scale")
+    normed = lambda d: scaled(d).withColumn("norm", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))))
     pairs = found.join(normed(leads.select("vec_id", "embedding")), "vec_id").join(normed(queries).select("query_id", F.col("embedding").alias("q"), F.col("norm").alias("qn")), "query_id")
     scored = pairs.select("query_id", F.col("vec_id").alias("lead"), (_dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn"))).alias("score"))
     best = lambda at: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), at))

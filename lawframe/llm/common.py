@@ -18,11 +18,13 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all runs on one machine, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir() or None
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lawframe-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -50,6 +52,27 @@ def removed(table: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def bucketed(df: DataFrame, name: str, by: str, sort: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder, bucketed (and sorted) by a column, so that joins on it need no shuffle of this table."""
+    spark = df.sparkSession
+    name = f"lawframe_{name}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
+    (writer.sortBy(*sort) if sort else writer).option("path", f"{shared_dir(spark)}/lawframe/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def unbucketed(table: DataFrame) -> DataFrame:
+    """A table made by `bucketed`, read without its buckets. Spark 4.1 takes a union of bucketed tables for one that is dealt by
+    their buckets, yet may read them unbucketed, and then aggregates it without a shuffle: unions must be of such tables."""
+    spark, files = table.sparkSession, table.inputFiles()
+    return spark.read.schema(table.schema).parquet(*files) if files else spark.createDataFrame([], table.schema)
+
+
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns of docs and the whole row as one column `row`, so that no other column can clash; back by `row.*`."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *needed)
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it holds at most `most` rows, else as it is. df should be a written table, as it is counted."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

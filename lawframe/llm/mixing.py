@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, word_count, written
+from .common import carried, small, word_count, written
 
 WEIGHTS = (5, 2, 1)
 GRID = 1 << 32
@@ -91,17 +91,16 @@ def blocks(sizes: DataFrame, block: int, salt: str = "") -> DataFrame:
     return d.withColumns({"first_block": F.floor(F.col("at") / block), "last_block": F.floor((F.col("at") + F.greatest(F.col("size"), F.lit(1)) - 1) / block)}).drop("shuffle", "before", "inner")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, max_repeat: int = 2, block_words: int = 256, least_slots: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, max_repeat: int = 2, block_words: int = 64) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row per row of docs (doc_id, text, source; others are ignored).
 
     taken: words of the document in the mix, repeats counted, at most max_repeat times its size; a source's sum of taken is
-    within a few blocks of its target. A block has block_words words, fewer where the whole mix has under
-    block_words * least_slots words. Null text: size 0. Null source: a source of its own. Empty table: no rows.
+    within a few blocks, of block_words words, of its target. Null text: size 0. Null source: a source of its own. Empty table: no rows.
     """
     sizes = written(sized(docs), "sizes")
     sources = written(targets(sizes, weights, total_share, max_repeat), "sources")
     wanted = (sources.agg(F.sum("source_size")).first()[0] or 0) * min(total_share, max_repeat)
-    block = max(1, min(block_words, int(wanted) // least_slots))
+    block = block_words
     slots = int(-(-wanted // block))
     by_source = small(sources.select(F.col("source").alias("of"), "k", "source_size", "target"))
     lying = blocks(sizes.join(by_source, sizes["source"].eqNullSafe(F.col("of"))).drop("of"), block)
@@ -119,7 +118,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float
 def copies(docs: DataFrame, **options) -> DataFrame:
     """docs repeated as the mix takes them: a document comes round(taken / size) times, with the columns of docs.
 
-    A document that has words and comes no time drops out; one without words drops out too. doc_id must be unique here.
+    A document that has words and comes no time drops out; one without words, or with a null doc_id, drops out too. Rows
+    with one doc_id are taken as equal: each comes as often as the one of them that the mix takes most.
     """
     counts = mix(docs, **options).where(F.col("size") > 0).select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where(F.col("_times") > 0)
-    return docs.join(counts, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    counts = counts.groupBy("doc_id").agg(F.max("_times").alias("times"))
+    again = carried(docs, "doc_id").join(counts, "doc_id").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return again.select("row.*")

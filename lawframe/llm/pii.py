@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WORD, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -83,19 +83,20 @@ def instances(found: DataFrame) -> DataFrame:
     """(doc_id, row_key, start, stop, value, left, right, seed): a row per token with a digit or an @.
 
     start and stop leave out punctuation at the token's ends; left and right are the words beside it, null where they aren't
-    letters only; seed: the token meets a base span.
+    letters only; seed: the token meets a base span. Values of under four characters are left out: too many things are written so.
     """
-    tokens = F.when(F.col("text").rlike("[0-9@]"), places(F.col("text"), TOKEN))
+    has = F.col("text").rlike("[0-9@]")
     words = lambda s: F.regexp_replace(F.lower(s), r"^[^\p{L}]+|[^\p{L}]+$", "")
     only = lambda s: F.when(s.rlike(r"^\p{L}+$"), s)
     spans = F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-    d = found.select("doc_id", "row_key", "text", spans.alias("spans"), F.explode(tokens).alias("t"))
+    # the tokens in order, and in the same order the places among all words of those words that hold a digit or an @
+    d = found.select("doc_id", "row_key", spans.alias("spans"), F.when(has, places(F.col("text"), TOKEN)).alias("tokens"), F.when(has, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("w")).where("tokens IS NOT NULL")
+    d = d.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(x.rlike("[0-9@]"), i)), lambda i: i.isNotNull()))
+    beside = F.zip_with("tokens", "at", lambda t, i: F.struct(t.alias("t"), F.get(F.col("w"), i - 1).alias("left"), F.get(F.col("w"), i + 1).alias("right")))
+    d = d.select("doc_id", "row_key", "spans", F.explode(beside).alias("x")).select("doc_id", "row_key", "spans", "x.t", "x.left", "x.right")
     core = F.regexp_replace(F.col("t.value"), r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
     lead = F.length(F.regexp_extract("t.value", r"^([^A-Za-z0-9]*)", 1))
-    # the longest words are cut from 200 characters on either side; a longer one is no pattern
-    left = F.regexp_extract(F.substring(F.col("text"), F.greatest(F.col("t.start") - 199, F.lit(1)), F.least(F.col("t.start"), F.lit(200))), r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-    right = F.regexp_extract(F.substring(F.col("text"), F.col("t.stop") + 1, F.lit(200)), r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)(?:$|[\x20\x09-\x0D])", 1)
-    d = d.select("doc_id", "row_key", (F.col("t.start") + lead).alias("start"), (F.col("t.start") + lead + F.length(core)).alias("stop"), core.alias("value"), only(words(left)).alias("left"), only(words(right)).alias("right"), F.exists("spans", lambda s: (s["start"] < F.col("t.stop")) & (s["stop"] > F.col("t.start"))).alias("seed"))
+    d = d.select("doc_id", "row_key", (F.col("t.start") + lead).alias("start"), (F.col("t.start") + lead + F.length(core)).alias("stop"), core.alias("value"), only(words(F.col("left"))).alias("left"), only(words(F.col("right"))).alias("right"), F.exists("spans", lambda s: (s["start"] < F.col("t.stop")) & (s["stop"] > F.col("t.start"))).alias("seed"))
     return d.where(F.length("value") >= 4)
 
 

@@ -4,12 +4,12 @@ Own figures (`figures`): words are runs without ASCII white space. A text of nul
   word_chars, n_symbols, n_dup_lines, n_repeat_words, and base_failed (under 10 words, or over a fifth of them repeated).
 Cross-document line frequency (`common_lines`, `judge`): lines are normalised (trimmed, lower case, digits as 0, runs of
   white space as one blank) and hashed; a line is common at a host (the source) if over max(least_docs, share * the host's
-  texts) different texts there hold it. Common lines are removed; a document is rejected as depleted if under
-  `keep_share` of its words are left. Copies of one text count once, so a much-copied document doesn't become boilerplate
-  by its copies alone.
+  documents) distinct documents there hold it. Common lines are removed (`without_common_lines`); a document is rejected
+  as depleted if under `keep_share` of its words are left.
 
-Only DataFrame operations. A line of a text is counted per text first and then added up per host, so a line that a third
-of all rows hold meets as partial counts; only lines over the limit, of which a host has fewer than 1 / share, are joined back.
+Only DataFrame operations. A line of a document is one row of (host, line, doc_id) hashes, dealt by all three, and then added
+up per host in partial counts, so a line that a third of all rows hold has no task of its own; only lines over the limit are
+joined back: with L lines a document, a host has fewer than L / share of them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, WORD, small, written
+from .common import BLANK, WORD, carried, small, written
 
 WINDOW = 5
 
@@ -57,55 +57,51 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), f"{BLANK}+", " "))
 
 
-def text_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, text_key, line, words): a row for each line with a word; line is a 64-bit hash, words its words here."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(t).alias("text_key"), F.explode(F.split(t, "\n")).alias("raw")).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
-    return d.select("doc_id", "host", "text_key", F.xxhash64(normalised(F.col("raw"))).alias("line"), F.regexp_count("raw", F.lit(WORD)).alias("words"))
-
-
 def common_lines(docs: DataFrame, share: float = 0.05, least_docs: int = 25) -> DataFrame:
-    """(host, line, texts): lines that over max(least_docs, share * texts of the host) different texts of the host hold."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    one = docs.select(F.col("source").alias("host"), "text").groupBy("host", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).agg(F.first("text").alias("text"))
-    texts = docs.select(F.col("source").alias("host"), F.xxhash64(t).alias("text_key")).distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
+    """(host, line, docs): lines that over max(least_docs, share * documents of the host) distinct documents of the host hold."""
+    d = docs.select(F.col("source").alias("host"), F.col("doc_id").alias("id"), "text")
+    hosts = d.select("host", "id").distinct().groupBy(F.col("host").alias("of")).agg(F.count("*").alias("host_docs"))
     lines = F.array_distinct(F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(normalised(x))))
-    counts = one.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > least_docs)
-    hosts = texts.withColumnRenamed("host", "of")
-    return counts.join(hosts, counts["host"].eqNullSafe(hosts["of"])).where(F.col("texts") > F.col("host_texts") * share).select("host", "line", "texts")
-
+    held = d.select("host", "id", F.explode(lines).alias("line")).distinct()
+    counts = held.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > least_docs)
+    return counts.join(hosts, counts["host"].eqNullSafe(hosts["of"])).where(F.col("docs") > F.col("host_docs") * share).select("host", "line", "docs")
 
-def judge(docs: DataFrame, share: float = 0.05, least_docs: int = 25, keep_share: float = 0.2) -> DataFrame:
-    """docs' columns with those of `figures`, n_common_words (long) and kept (boolean), one row per row of docs.
 
-    Null text, empty text: no words, base_failed, not kept. Null source: a host of its own. Repeated rows are judged alike.
-    """
-    common = written(common_lines(docs.select("source", "text"), share, least_docs), "common-lines")
-    return _judged(docs, common, keep_share)
+def _per_host(docs: DataFrame, share: float, least_docs: int) -> DataFrame:
+    """(of, common): the common lines of each host that has any, as one array, so that documents aren't exploded."""
+    common = common_lines(docs, share, least_docs).groupBy(F.col("host").alias("of")).agg(F.collect_list("line").alias("common"))
+    return small(written(common, "host-lines"))
 
 
-def _judged(docs: DataFrame, common: DataFrame, keep_share: float) -> DataFrame:
-    # a host has fewer than lines-per-text / share common lines; they travel as one array per host, so documents aren't exploded
-    per_host = small(written(common.groupBy("host").agg(F.collect_list("line").alias("_common")), "host-lines")).withColumnRenamed("host", "_host")
-    d = figures(docs).join(per_host, F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.array_contains(F.col("_common"), F.xxhash64(normalised(x))))
-    d = d.withColumn("_gone", F.when(F.col("_common").isNotNull(), lines))
-    d = d.withColumn("n_common_words", F.coalesce(F.aggregate("_gone", F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(WORD))), F.lit(0)).cast("long"))
+def _judged(d: DataFrame, per_host: DataFrame, keep_share: float) -> DataFrame:
+    """d (text, source and others) with the columns of `figures`, n_common_words, kept and left_text."""
+    d = d.join(per_host, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    is_common = lambda x: F.array_contains(F.col("common"), F.xxhash64(normalised(x)))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    d = figures(d).withColumn("gone", F.when(F.col("common").isNotNull(), F.filter(lines, is_common)))
+    d = d.withColumn("n_common_words", F.coalesce(F.aggregate("gone", F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(WORD))), F.lit(0)).cast("long"))
+    left = F.when(F.size("gone") > 0, F.array_join(F.filter(lines, lambda x: ~is_common(x)), "\n")).otherwise(F.col("text"))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= F.col("n_words") * F.lit(keep_share)))
-    return d.drop("_common", "_gone")
+    return d.withColumn("left_text", left).drop("common", "gone")
+
+
+def judge(docs: DataFrame, share: float = 0.05, least_docs: int = 25, keep_share: float = 0.2) -> DataFrame:
+    """(row, text, source, the columns of `figures`, n_common_words long, kept boolean, left_text), one row per row of docs;
+    row is the whole input row, whatever its columns are called; left_text is the text without common lines.
 
+    Null text, empty text: no words, base_failed, not kept. Null source: a host of its own. Rows with one doc_id are one
+    document to the counts (null: one as well), and are judged alike.
+    """
+    return _judged(carried(docs, "text", "source"), _per_host(docs, share, least_docs), keep_share)
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs. The verdicts are written first: a filter on them would be
-    pushed below, and the whole expression of the figures put in its place many times over."""
-    return written(judge(docs, **options).select(*docs.columns, F.col("kept").alias("_kept")), "judged").where("_kept").select(*docs.columns)
 
+def without_common_lines(docs: DataFrame, **options) -> DataFrame:
+    """The documents kept, with the columns of docs, their texts without the host's common lines; n_chars, where there is one, follows the text.
 
-def without_common_lines(docs: DataFrame, share: float = 0.05, least_docs: int = 25, keep_share: float = 0.2) -> DataFrame:
-    """The documents kept, with the columns of docs, their texts without the host's common lines."""
-    common = written(common_lines(docs.select("source", "text"), share, least_docs), "common-lines")
-    per_host = small(written(common.groupBy("host").agg(F.collect_list("line").alias("_common")), "host-lines")).withColumnRenamed("host", "_host")
-    kept = written(_judged(docs, common, keep_share).select(*docs.columns, F.col("kept").alias("_kept")), "judged").where("_kept").select(*docs.columns)
-    d = kept.join(per_host, F.col("source").eqNullSafe(F.col("_host")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_common"), F.xxhash64(normalised(x)))), "\n")
-    return d.withColumn("text", F.when(F.col("_common").isNotNull(), left).otherwise(F.col("text"))).select(*docs.columns)
+    The verdicts are written first: a filter on them would be pushed below, and the whole expression of the figures put in
+    its place many times over.
+    """
+    kept = written(judge(docs, **options).select("row", "left_text", "kept"), "judged").where("kept")
+    kind = dict(docs.dtypes)
+    value = lambda c: F.col("left_text") if c == "text" else F.length("left_text").cast(kind[c]) if c == "n_chars" else F.col(f"row.`{c}`")
+    return kept.select(*(value(c).alias(c) for c in docs.columns))

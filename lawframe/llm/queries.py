@@ -12,7 +12,7 @@ from .license import oracle as license_oracle
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
-    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words")
+    return judge(documents(spark, sf_dir)).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import drop_repeats
 
-    return drop_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return drop_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

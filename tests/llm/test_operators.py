@@ -21,6 +21,9 @@ ROWS = [
 ]
 
 
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
 def make(spark, rows):
     return spark.createDataFrame([(i, t, "en", None if i == 4 else f"src{i % 3}", None if t is None else len(t), "x", "k") for i, t in rows], SCHEMA)
 
@@ -73,7 +76,7 @@ def test_license(docs):
 def test_quality(docs):
     from lawframe.llm.quality import judge
 
-    got = by_id(judge(docs))
+    got = by_id(judge(docs).select("row.doc_id", *FIGURES))
     for i, t in ROWS:
         t = t or ""
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -94,7 +97,7 @@ def test_common_lines_deplete(spark):
     footer = "subscribe to our newsletter for more news about everything we do here each week"
     # digits are alike in normalised lines, so the clean texts differ in letters
     rows = [(i, f"{footer}\nunique {i}") for i in range(40)] + [(100 + i, " ".join(chr(97 + i % 26) * (1 + i // 26) + chr(97 + j) for j in range(26))) for i in range(40)]
-    got = by_id(judge(spark.createDataFrame([(i, t, "host") for i, t in rows], "doc_id long, text string, source string")))
+    got = by_id(judge(spark.createDataFrame([(i, t, "host") for i, t in rows], "doc_id long, text string, source string")).select("row.doc_id", "kept"))
     assert not any(got[i]["kept"] for i in range(40)) and all(got[100 + i]["kept"] for i in range(40))
 
 
@@ -164,7 +167,7 @@ def test_line_dedup(docs):
     for i, t in ROWS:
         for x in (t or "").split("\n"):
             held[key(x)].add(i)
-    got = by_id(drop_repeats(docs))
+    got = by_id(drop_repeats(docs).select("row.doc_id", "n_lines", "n_dropped", "kept_text"))
     for i, t in ROWS:
         lines = (t or "").split("\n")
         left = [x for x in lines if not (len(key(x)) >= 40 and len(held[key(x)]) >= 5 and i != max(held[key(x)]))]
