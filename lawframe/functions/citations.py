@@ -11,13 +11,19 @@ from pyspark.sql import types as T
 
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 SCHEMA = T.StructType().add("kind", "string").add("identifier", "string").add("note", "boolean")
-_SUB = r"(?P<sub>(?:\([0-9A-Za-z]+\))*)"
-_LAW = re.compile(r"(?P<kind>pub(?:lic)?|priv(?:ate)?|pvt)\.?\s*l(?:aw)?\.?\s*(?:no\.?\s*)?(?P<c>\d{1,3})\s*[-–—]\s*(?P<n>\d+)", re.I)
-_SECTION = re.compile(r"(?:§+|\bsec(?:tion|s)?\b\.?)\s*(?P<num>\d+[A-Za-z]?(?:-\d+)?)" + _SUB, re.I)
-_PAGE = re.compile(r"^(?P<v>\d+[A-Z]?)\s*stat\.?\s*(?P<p>[0-9A-Za-z]+(?:-\d+)?)$", re.I)
+_SUB = r"(?P<sub>(?:\s*\([0-9A-Za-z]+\))*)"
+_LAW = re.compile(r"\b(?P<kind>pub(?:lic)?|priv(?:ate)?|pvt|p)\.?\s*l(?:aw)?\.?\s*(?:no\.?\s*)?(?P<c>\d{1,3})\s*-\s*(?P<n>\d+)", re.I)
+_SECTION = re.compile(r"(?P<mark>§+|\bsec(?:tion|s)?\b\.?)\s*(?P<num>\d+[A-Za-z]*(?:-\d+[A-Za-z]*)?)" + _SUB + r"(?P<more>(?:\s*(?:-|,|to|and)\s*\d+[A-Za-z]*(?:\([0-9A-Za-z]+\))*)*)", re.I)
+_PAGE = re.compile(r"\b(?P<v>\d+[A-Z]?)\s*stat\.?\s*(?P<p>[0-9A-Za-z]+(?:-\d+)?)", re.I)
+_CHAPTER = r"(?:ch|chapter|c)\.?\s*(?P<ch>\d+)"
 _CODE = re.compile(r"^(?P<t>\d+[A-Za-z]?)\s*u\.?\s*s\.?\s*c\.?(?:ode)?\s*(?P<app>app(?:endix|\.)?)?\s*(?:§+|sec(?:tion|\.)?)?\s*(?P<num>\d+[A-Za-z0-9-]*)?" + _SUB + r"(?P<note>\s+note)?$", re.I)
-_ACT = re.compile(r"^(?:act\s+of\s+)?(?P<date>[a-z]+\.?\s+\d{1,2},\s*\d{4}|\d{4}-\d{2}-\d{2}),?\s*(?:ch|chapter|c)\.?\s*(?P<ch>\d+)$", re.I)
-_BARE = re.compile(r"^(?P<c>\d{1,3})\s*[-–—]\s*(?P<n>\d+)$")
+_ACT = re.compile(r"^(?:the\s+)?(?:act\s+of\s+)?(?P<date>[a-z]+\.?\s+\d{1,2},\s*\d{4}|\d{4}-\d{2}-\d{2}),?\s*\(?" + _CHAPTER + r"\)?", re.I)
+_ON_PAGE = re.compile(rf"^{_CHAPTER},?\s*(?=\d)", re.I)
+_BARE = re.compile(r"^(?P<c>\d{1,3})\s*-\s*(?P<n>\d+)$")
+#: The letters of a hierarchy level in an identifier.
+LEVELS = {"div": "d", "division": "d", "title": "t", "subtitle": "st", "chapter": "ch", "subchapter": "sch", "part": "p", "subpart": "sp"}
+_LEVEL = re.compile(r"\b(" + "|".join(sorted(LEVELS, key=len, reverse=True)) + r")\b\.?\s+([0-9A-Z]+)\b", re.I)
+_PATH = re.compile(r"/us/(pl|pvtl|act|stat|sComp|usc)/\S+$")
 
 
 def _date(text: str) -> str | None:
@@ -33,38 +39,62 @@ def _date(text: str) -> str | None:
         return None
 
 
-def _below(sub: str) -> str:
-    return "".join("/" + x for x in re.findall(r"\(([0-9A-Za-z]+)\)", sub or ""))
+def _tail(rest: str) -> tuple[str, bool] | None:
+    """(path below the law, note) of what stands around a law in its citation; None if some of it can't be read.
+
+    A section stands for its levels; without one the levels make the path. Of several sections the first counts;
+    the law's page says nothing more.
+    """
+    note = re.search(r"\bnote\b", rest, re.I) is not None
+    rest = _PAGE.sub(" ", re.sub(r"\bnote\b", " ", rest, flags=re.I))
+    path = ""
+    if m := _SECTION.search(rest):
+        num = m["num"].split("-")[0] if m["mark"].startswith("§§") or m["mark"].lower().startswith("secs") else m["num"]
+        path = f"/s{num}" + "".join("/" + x for x in re.findall(r"\(([0-9A-Za-z]+)\)", m["sub"]))
+        rest = rest[: m.start()] + " " + rest[m.end() :]
+    levels = _LEVEL.findall(rest)
+    rest = _LEVEL.sub(" ", rest)
+    if re.sub(r"\b(?:of|the)\b|[\s,()]", "", rest, flags=re.I):
+        return None
+    return path or "".join("/" + LEVELS[k.lower()] + v for k, v in levels), note
+
+
+def _path(text: str) -> str | None:
+    """A path as it is kept: with its root's slash, without levels above a section."""
+    t = "/" + text.strip("/ ")
+    if not _PATH.match(t):
+        return None
+    parts = t.split("/")
+    at = next((i for i, x in enumerate(parts) if i > 4 and re.match(r"s[0-9]", x)), None)
+    if parts[2] in ("pl", "pvtl", "act") and at:
+        parts = parts[:5] + parts[at:]
+    return "/".join(parts)
 
 
 def parse(text: str | None) -> tuple[str | None, str | None, bool | None]:
-    """(kind, identifier, note) of a written citation; all None for what is none."""
+    """(kind, identifier, note) of a written citation; kind is the identifier's root; all None for what is none."""
     none = (None, None, None)
-    if not text or not (t := re.sub(r"\s+", " ", text).strip(" .;")):
+    t = re.sub("[\u2010-\u2015]", "-", re.sub(r"\s+", " ", text or "")).strip(" .;")
+    if not t:
         return none
-    if t.startswith("/us/"):
-        return ("path", "/" + t.strip("/ "), False) if re.match(r"/us/(pl|pvtl|act|stat|sComp|usc)/\S+$", t) else none
-    if m := _LAW.search(t):
-        if not int(m["c"]) or not int(m["n"]):
-            return none
-        root = f"/us/{'pl' if m['kind'].lower().startswith('pub') else 'pvtl'}/{int(m['c'])}/{int(m['n'])}"
-        rest = (t[: m.start()] + " " + t[m.end() :]).strip(" ,")
-        rest = re.sub(r"^of\b|\bof$", "", rest).strip(" ,")
-        if not rest:
-            return ("law", root, False)
-        note = bool(re.search(r"\bnote$", rest))
-        s = _SECTION.fullmatch(re.sub(r",?\s*note$", "", rest).strip(" ,"))
-        return ("law", f"{root}/s{s['num']}{_below(s['sub'])}", note) if s else none
-    if m := _ACT.match(t):
-        day = _date(m["date"])
-        return ("act", f"/us/act/{day}/ch{int(m['ch'])}", False) if day else none
-    if m := _PAGE.match(t):
-        return ("stat", f"/us/stat/{m['v'].upper()}/{m['p'].lower()}", False)
+    if re.match("/?us/", t):
+        path = _path(t)
+        return (path.split("/")[2], path, False) if path else none
     if m := _CODE.match(t):
         title = m["t"].lower() + ("a" if m["app"] else "")
-        return ("usc", f"/us/usc/t{title}" + (f"/s{m['num']}{_below(m['sub'])}" if m["num"] else ""), bool(m["note"]))
-    if (m := _BARE.match(t)) and int(m["c"]) and int(m["n"]):
-        return ("law", f"/us/pl/{int(m['c'])}/{int(m['n'])}", False)
+        below = "".join("/" + x for x in re.findall(r"\(([0-9A-Za-z]+)\)", m["sub"] or ""))
+        return ("usc", f"/us/usc/t{title}" + (f"/s{m['num']}{below}" if m["num"] else ""), bool(m["note"]))
+    if (m := _LAW.search(t) or _BARE.match(t)) is not None:
+        kind = "pvtl" if (m.groupdict().get("kind") or "p").lower() in ("priv", "private", "pvt") else "pl"
+        tail = _tail(t[: m.start()] + " " + t[m.end() :])
+        return (kind, f"/us/{kind}/{int(m['c'])}/{int(m['n'])}{tail[0]}", tail[1]) if tail and int(m["c"]) and int(m["n"]) else none
+    if m := _ACT.match(t):
+        day, tail = _date(m["date"]), _tail(t[m.end() :])
+        return ("act", f"/us/act/{day}/ch{int(m['ch'])}{tail[0]}", tail[1]) if day and tail else none
+    # a chapter on a page is cited by the page
+    t = re.sub(rf",\s*{_CHAPTER}", "", _ON_PAGE.sub("", t), flags=re.I)
+    if (m := _PAGE.match(t)) and _tail(t[m.end() :]) is not None:
+        return ("stat", f"/us/stat/{m['v'].upper()}/{m['p'].lower()}", False)
     return none
 
 

@@ -49,10 +49,14 @@ def parsed(path: Column) -> Column:
     )
 
 
+#: Words that read as numerals and are none.
+NO_NUMERALS = ("DIV", "MIX", "DIM")
+
+
 def roman(text: Column) -> Column:
-    """Value of a Roman numeral below 4000, null for anything else."""
-    t = F.upper(text)
-    ok = t.rlike("^(?=.)M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$")
+    """Value of a Roman numeral below 5000, blanks around it and dots after it aside; null for anything else, and for NO_NUMERALS."""
+    t = F.regexp_replace(F.upper(F.trim(text)), r"\.+$", "")
+    ok = ~t.isin(*NO_NUMERALS) & t.rlike("^(?=.)M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$")
     worth = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.when(c == "M", 1000).when(c == "D", 500).when(c == "C", 100).when(c == "L", 50).when(c == "X", 10).when(c == "V", 5).otherwise(1))
     # from the right: a letter worth less than the largest so far is taken off
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top"))
@@ -67,10 +71,10 @@ def ordinal(n: Column) -> Column:
 
 
 def congress_of(day: Column) -> Column:
-    """The congress that sits on a day: terms begin on 4 March of odd years up to 1933, on 3 January from 1935."""
+    """The congress that sits on a day: terms begin on 4 March of odd years up to 1933, on 3 January from 1935. Days before the first: 1."""
     year, md = F.year(day), F.month(day) * 100 + F.dayofmonth(day)
     before = F.when(year < 1935, md < 304).otherwise(md < 103) & (year % 2 == 1)
-    return F.floor((F.when(before, year - 1).otherwise(year) - 1789) / 2).cast("int") + 1
+    return F.greatest(F.lit(1), F.floor((F.when(before, year - 1).otherwise(year) - 1789) / 2).cast("int") + 1)
 
 
 def safe_date(text: Column) -> Column:

@@ -72,3 +72,9 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
 def digest(order: Column, values: Column, sep: str = "\n") -> Column:
     """sha256 of the group's values in the order, joined."""
     return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), values.cast("string").alias("v")))), lambda r: r["v"]), sep), 256)
+
+
+def first_wins(claims: DataFrame, alias: str, order: list) -> DataFrame:
+    """claims with `kept`: of the rows that claim an alias the first in `order` has it."""
+    w = Window.partitionBy(alias).orderBy(*order)
+    return claims.withColumn("kept", F.row_number().over(w) == 1)

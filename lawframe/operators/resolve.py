@@ -32,3 +32,31 @@ def cascade(requests: DataFrame, lookups: list[tuple[DataFrame, list[str], str]]
     for i, (table, keys, value) in enumerate(lookups):
         out = out.join(table.select(*keys, F.col(value).alias(f"_v{i}")).dropDuplicates(keys), keys, "left")
     return out.withColumn(name, F.coalesce(*(F.col(f"_v{i}") for i in range(len(lookups))))).drop(*(f"_v{i}" for i in range(len(lookups))))
+
+
+def resolved(requests: DataFrame, units: DataFrame, aliases: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(request, rule, path), a row per distinct request: the first of these that finds a unit, else rule `miss`.
+
+    exact: a unit's path; alias: a name in aliases (alias, path); prefix: the longest leading part of the request that is a unit;
+    number: the last segment as a section of the law in front of it, by numbered (key, path). All candidates of all
+    requests are looked up in one equi-join, as many per request as it has segments and three.
+    """
+    text = F.col("request")
+    parts = F.split(text, "/")
+    cuts = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda n: F.struct(F.lit("prefix").alias("rule"), (100 - n).alias("rank"), F.array_join(F.slice(parts, 1, n), "/").alias("key")))
+    cuts = F.filter(cuts, lambda c: c["key"] != text)
+    one = lambda rule, rank, key: F.struct(F.lit(rule).alias("rule"), F.lit(rank).alias("rank"), key.alias("key"))
+    wanted = F.concat(F.array(one("exact", 0, text), one("alias", 1, text)), cuts, F.array(one("number", 200, text)))
+    asked = requests.select("request").distinct().withColumn("c", F.explode(wanted)).select("request", "c.*")
+    known = units.select(F.explode(F.array(F.lit("exact"), F.lit("prefix"))).alias("rule"), F.col("path").alias("key"), "path").unionByName(aliases.select(F.lit("alias").alias("rule"), F.col("alias").alias("key"), "path")).unionByName(numbered.select(F.lit("number").alias("rule"), "key", "path"))
+    found = asked.join(known, ["rule", "key"], "left").groupBy("request").agg(F.min(F.when(F.col("path").isNotNull(), F.struct("rank", "path", "rule"))).alias("m"))
+    return found.select("request", F.coalesce("m.rule", F.lit("miss")).alias("rule"), F.col("m.path").alias("path"))
+
+
+def parents(units: DataFrame) -> DataFrame:
+    """(path, parent): the longest proper leading part of each path that is a unit itself; null for roots."""
+    parts = F.split("path", "/")
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    asked = units.select("path", F.explode(cuts).alias("cut"))
+    found = asked.join(units.select(F.col("path").alias("cut")).distinct(), "cut").groupBy("path").agg(F.max_by("cut", F.length("cut")).alias("parent"))
+    return units.select("path").distinct().join(found, "path", "left")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import operatorsuite, relational
+from . import answers, operatorsuite, relational
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,8 +27,8 @@ def from_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: from_sql(v) for k, v in relational.SHARED.items()} | operatorsuite.QUERIES
+    return {k: from_sql(v) for k, v in relational.SHARED.items()} | operatorsuite.QUERIES | answers.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.replace("LEFT ANTI JOIN", "ANTI JOIN") for k, v in relational.SHARED.items()} | operatorsuite.ORACLE
+    return {k: v.replace("LEFT ANTI JOIN", "ANTI JOIN") for k, v in relational.SHARED.items()} | operatorsuite.ORACLE | answers.ORACLE

@@ -274,11 +274,23 @@ def safe_date(t: Tables) -> DataFrame:
     return t("orders").select("o_orderkey", ids.safe_date(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm")).alias("day"))
 
 
-@query("SELECT o_orderkey, 'law' AS kind, '/us/pl/' || year(o_orderdate) % 1000 || '/' || o_orderkey AS identifier FROM orders WHERE o_orderkey > 0 AND year(o_orderdate) % 1000 > 0")
+@query("""
+WITH w AS (SELECT o_orderkey, o_orderdate AS d, '/us/pl/' || (year(o_orderdate) - 1900) || '/' || (o_orderkey + 1) AS law, o_custkey AS c FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 3 THEN 'act' WHEN 4 THEN 'stat' WHEN 5 THEN 'usc' ELSE 'pl' END AS kind,
+ CASE o_orderkey % 6 WHEN 0 THEN law WHEN 1 THEN law || '/s' || c || '/a/1' WHEN 2 THEN law || '/tIV' WHEN 3 THEN '/us/act/' || strftime(d, '%Y-%m-%d') || '/ch' || c || '/s2' WHEN 4 THEN '/us/stat/' || (year(d) - 1900) || '/' || c ELSE '/us/usc/t42/s' || c END AS identifier,
+ o_orderkey % 6 = 5 AS note FROM w""")
 def cite_parsed(t: Tables) -> DataFrame:
-    written = F.concat(F.lit("Public Law "), F.year("o_orderdate") % 1000, F.lit("-"), "o_orderkey")
-    laws = t("orders").where((F.year("o_orderdate") % 1000 > 0) & (F.col("o_orderkey") > 0))
-    return laws.select("o_orderkey", cite_parse(written).alias("c")).select("o_orderkey", "c.kind", "c.identifier")
+    n, c = F.concat(F.year("o_orderdate") - 1900, F.lit("-"), F.col("o_orderkey") + 1), F.col("o_custkey")
+    forms = [
+        F.concat(F.lit("P.L. "), n),
+        F.concat(F.lit("section "), c, F.lit("(a)(1) of Public Law "), n),
+        F.concat(F.lit("Pub. L. No. "), n, F.lit(", title IV, 110 Stat. 4196")),
+        F.concat(F.lit("Act of "), F.date_format("o_orderdate", "MMM. d, yyyy"), F.lit(", ch. "), c, F.lit(", § 2")),
+        F.concat(F.lit("ch. 12, "), F.year("o_orderdate") - 1900, F.lit(" Stat. "), c),
+        F.concat(F.lit("42 U.S.C. "), c, F.lit(" note")),
+    ]
+    written = F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return t("orders").select("o_orderkey", cite_parse(written).alias("c")).select("o_orderkey", "c.*")
 
 
 @query("SELECT p_partkey, CAST(1 AS INTEGER) AS distance FROM part WHERE length(p_name) > 2")

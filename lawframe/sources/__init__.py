@@ -1 +1 @@
-"""Readers with declared schemas."""
+"""Readers of listings, saved pages and archives into tables."""

@@ -1 +1 @@
-"""See the module names."""
+"""Polls and keyed state: `polls` for repeated deliveries, `buckets` for token buckets."""
