@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: BREAKS without the line feed.
 INNER_BREAKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -52,8 +53,13 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(BREAKS, text.lower()) if w]
 
 
+def lowered(text) -> Column:
+    """A-Z in lower case; other letters stay as they are."""
+    return F.translate(text, UPPER, LOWER)
+
+
 def spaced(low: Column) -> Column:
-    """The words of a lower-cased text with one blank between."""
+    """The words of a lowered text with one blank between."""
     return F.trim(F.regexp_replace(low, BREAKS, " "))
 
 
@@ -69,7 +75,7 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
 def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """Documents that hold each word of the templates; what reaches the driver has a row per template word at most."""
     words = F.array(*map(F.lit, vocabulary(templates)))
-    held = F.array_intersect(words, F.split(spaced(F.lower("text")), " "))
+    held = F.array_intersect(words, F.split(spaced(lowered("text")), " "))
     return {r["word"]: r["n"] for r in docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
@@ -92,7 +98,7 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFr
     table = F.array(*(F.struct(F.lit(lb).alias("label"), array(rs).alias("ranks"), array(pre).alias("prefix"), F.lit(need).alias("need"), F.lit(side).alias("side")) for lb, rs, pre, need, side in rows))
     gate = r"(?<![0-9a-z\x80-\x{10FFFF}])(?:" + "|".join(sorted({order[i - 1] for _, _, pre, *_ in rows for i in pre})) + r")(?![0-9a-z\x80-\x{10FFFF}])"
 
-    d = docs.withColumn("_low", F.lower(F.coalesce("text", F.lit(""))))
+    d = docs.withColumn("_low", lowered(F.coalesce("text", F.lit(""))))
     d = d.withColumn("_norm", spaced(F.col("_low")))
     lines = F.when(F.col("_low").rlike(gate), F.filter(F.split("_low", "\n"), lambda x: x.rlike(gate)))
     rank_of = lambda w: F.array_position(array(order), w).cast("int")
@@ -154,7 +160,7 @@ def oracle(threshold: float = 0.8, templates=TEMPLATES) -> str:
     at = lambda p: f"list_filter(range(1, len(w) + 1), lambda i: array_to_string(w[i:i+{len(p.split()) - 1}], ' ') = '{p}')"
     return f"""
 WITH t(label, ws, need) AS (VALUES {values}),
-d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
+d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 w AS (SELECT doc_id, low, list_filter(string_split_regex(low, '{breaks}'), lambda x: x <> '') AS w FROM d),
 p AS (SELECT doc_id, low, len(w) AS n, {", ".join(f"{at(p)} AS p{i}" for i, p in enumerate(PHRASES))} FROM w),
 b AS (SELECT doc_id, n, flatten([p0, p1, p2]) AS ps, list_filter([CASE WHEN len(p0) > 0 THEN 'cc-by' END, CASE WHEN len(p1) > 0 THEN 'gpl' END, CASE WHEN len(p2) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS bl FROM p),

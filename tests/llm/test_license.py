@@ -33,3 +33,10 @@ def test_every_template_a_word_a_line(spark):
 
 def test_words_too_far_apart(spark):
     assert labels(spark, ["Permission is hereby granted, free of charge, to any\n" + "filler " * 40 + "\nperson obtaining a copy of this software and associated documentation files"]) == [("", 0.0)]
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    """U+212A (Kelvin sign) lower-cases to k, U+0130 to two code points: both stay, and are word characters."""
+    d = spark.createDataFrame([(0, "CC BY"), (1, "K WORK licensed"), (2, "ALL RIGHTS RESERVEDİ"), (3, "All Rights Reserved")], "doc_id long, text string")
+    rows = scan(d).orderBy("doc_id").select("n_words", "n_base", "labels").collect()
+    assert [tuple(r) for r in rows] == [(2, 1, "cc-by"), (3, 0, ""), (3, 0, ""), (3, 1, "reserved")]
