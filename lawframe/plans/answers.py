@@ -349,3 +349,16 @@ def stream_dedupe(t: Tables) -> DataFrame:
 def rate_limit(t: Tables) -> DataFrame:
     """Each user's events against a bucket of 5 tokens that fills at one in 20 minutes; no SQL: the fold depends on its own past."""
     return buckets.limited(t("events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id")), 5.0, 1 / 1200)
+
+
+@query("""
+WITH r AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN left(props, length(props) - 1) WHEN event_id % 11 = 0 THEN replace(props, '"k"', '"x"') ELSE props END AS raw FROM events),
+p AS (SELECT event_id, raw, CASE WHEN json_valid(raw) THEN CAST(json_extract_string(raw, '$.k') AS BIGINT) END AS k FROM r)
+SELECT event_id, CASE WHEN k IS NULL THEN 'bad' ELSE 'good' END AS side, k, CASE WHEN NOT json_valid(raw) THEN 'malformed' WHEN k IS NULL THEN 'no key' END AS reason FROM p""")
+def error_split(t: Tables) -> DataFrame:
+    """Records read one by one, each failure held apart with its reason; every seventh is cut short and every eleventh lacks its key."""
+    n, props = F.col("event_id"), F.col("props")
+    raw = F.when(n % 7 == 0, F.expr("left(props, length(props) - 1)")).when(n % 11 == 0, F.replace(props, F.lit('"k"'), F.lit('"x"'))).otherwise(props)
+    read = t("events").select("event_id", F.try_parse_json(raw).alias("v")).withColumn("k", F.try_variant_get("v", "$.k", "long"))
+    reason = F.when(F.col("v").isNull(), "malformed").when(F.col("k").isNull(), "no key")
+    return read.select("event_id", F.when(reason.isNull(), "good").otherwise("bad").alias("side"), "k", reason.alias("reason"))

@@ -32,8 +32,8 @@ SHARED: dict[str, str] = {
     "left_join_flag": "SELECT p_partkey, count(l_orderkey) AS current_lines FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R' GROUP BY p_partkey",
     "cited_counts": "SELECT n_name, count(DISTINCT o_orderkey) AS orders, count(DISTINCT c_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "enacting_credit": "SELECT l_partkey, min(CASE WHEN l_returnflag = 'A' THEN l_orderkey END) AS credit, coalesce(min(CASE WHEN l_returnflag = 'A' THEN l_orderkey END) < coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_orderkey END), 9223372036854775807), false) AS before FROM lineitem GROUP BY l_partkey",
-    "pending_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "stale_anti_join": "SELECT p_partkey FROM part LEFT ANTI JOIN lineitem ON l_partkey = p_partkey",
+    "pending_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1996)",
+    "stale_anti_join": "SELECT p_partkey FROM part LEFT ANTI JOIN lineitem ON l_partkey = p_partkey AND l_shipdate >= DATE '2001-01-01'",
     "due_files": "WITH s AS (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id), h AS (SELECT c_custkey AS id, TIMESTAMP '2024-01-05 00:00:00' AS stored FROM customer WHERE c_custkey % 3 = 0) SELECT user_id FROM s LEFT JOIN h ON user_id = id WHERE stored IS NULL OR last_ts > stored",
     "counterpart": "SELECT a.l_orderkey AS o1, b.l_orderkey AS o2, a.l_linenumber, count(*) AS pairs FROM lineitem a JOIN orders x ON a.l_orderkey = x.o_orderkey JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey JOIN lineitem b ON b.l_orderkey = y.o_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY a.l_orderkey, b.l_orderkey, a.l_linenumber",
     "fill_dates": "SELECT e.user_id, e.event_id, coalesce(CASE WHEN e.event_type <> 'click' THEN e.ts END, o.first_date) AS dated FROM events e LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_date FROM orders GROUP BY o_custkey) o ON e.user_id = o.o_custkey",
@@ -105,7 +105,6 @@ SHARED: dict[str, str] = {
     "bounded_tree": "WITH n AS (SELECT n_regionkey, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey) SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN n ON nation.n_regionkey = n.n_regionkey WHERE c <= 300 OR n_nationkey = 7",
     "cited_by": "WITH e AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem) SELECT l_partkey, count(DISTINCT l_suppkey) AS sections, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS a, count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS n, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS r FROM e GROUP BY l_partkey",
     "currency_status": "WITH c AS (SELECT l_partkey, o_orderkey, o_orderdate, 1 AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A' UNION ALL SELECT l_partkey, o_orderkey, o_orderdate, 2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND NOT (o_orderstatus IS NOT DISTINCT FROM 'P')), f AS (SELECT c.* FROM c JOIN part ON p_partkey = l_partkey WHERE o_orderdate > TIMESTAMP '2000-06-01 00:00:00') SELECT p_partkey, CASE WHEN count(f.kind) > 0 THEN 'known_amended' WHEN p_size > 25 THEN 'no_record' ELSE 'unknown' END AS status, coalesce(bool_or(f.kind = 1), false) AS by_credit, coalesce(bool_or(f.kind = 2), false) AS by_classification, max(f.o_orderdate) AS latest FROM part LEFT JOIN f ON f.l_partkey = p_partkey GROUP BY p_partkey, p_size",
-    "error_split": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'bad' ELSE 'good' END AS side FROM events",
     "search_facets": "SELECT lang, source, count(*) AS n FROM documents WHERE lower(text) LIKE '%license%' GROUP BY lang, source",
     "search_filter": "SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND source = 'src3'",
 }
