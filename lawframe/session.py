@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,3 +25,14 @@ def session(master: str | None = None, app: str = "lawframe", **more: str) -> Sp
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine, one of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lawframe-"))
+        at = spark.sparkContext.getCheckpointDir()
+    return (at if "://" in at or at.startswith("file:") else f"file://{at}").rstrip("/")
