@@ -11,18 +11,26 @@ from pyspark.sql import types as T
 
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 SCHEMA = T.StructType().add("kind", "string").add("identifier", "string").add("note", "boolean")
-_SUB = r"(?P<sub>(?:\s*\([0-9A-Za-z]+\))*)"
+_SUB = r"(?P<sub>(?:\s*\((?!\d{4}\))[0-9A-Za-z]+\))*)"
+_YEAR = r"(?:\s*\(\d{4}\))?"
 _LAW = re.compile(r"\b(?P<kind>pub(?:lic)?|priv(?:ate)?|pvt|p)\.?\s*l(?:aw)?\.?\s*(?:no\.?\s*)?(?P<c>\d{1,3})\s*-\s*(?P<n>\d+)", re.I)
-_SECTION = re.compile(r"(?P<mark>§+|\bsec(?:tion|s)?\b\.?)\s*(?P<num>\d+[A-Za-z]*(?:-\d+[A-Za-z]*)?)" + _SUB + r"(?P<more>(?:\s*(?:-|,|to|and)\s*\d+[A-Za-z]*(?:\([0-9A-Za-z]+\))*)*)", re.I)
-_PAGE = re.compile(r"\b(?P<v>\d+[A-Z]?)\s*stat\.?\s*(?P<p>[0-9A-Za-z]+(?:-\d+)?)", re.I)
+#: A section, with what may stand around its number; a plural's first one counts.
+_SECTION = re.compile(r"(?P<mark>§+|sec(?:tion)?s?\.?)\s*(?P<num>\d+[A-Za-z]*(?:-\d+[A-Za-z]*)?)" + _SUB + r"(?:\s*(?:-|to|through|and)\s*\d+[A-Za-z]*(?:\([0-9A-Za-z]+\))*)*(?P<note>\s+note)?" + _YEAR, re.I)
+# The volumes that have a letter.
+_VOLUME = r"(?P<v>68a|70a|\d{1,3})"
+_PAGE = re.compile(_VOLUME + r"\s*stat\.?\s*(?P<p>[A-Za-z]?\d+[A-Za-z]?(?:-\d+)?)" + _YEAR, re.I)
+_MORE_PAGES = re.compile(r"(?:\s*,\s*\d+[A-Za-z]?)*" + _YEAR)
 _CHAPTER = r"(?:ch|chapter|c)\.?\s*(?P<ch>\d+)"
 _CODE = re.compile(r"^(?P<t>\d+[A-Za-z]?)\s*u\.?\s*s\.?\s*c\.?(?:ode)?\s*(?P<app>app(?:endix|\.)?)?\s*(?:§+|sec(?:tion|\.)?)?\s*(?P<num>\d+[A-Za-z0-9-]*)?" + _SUB + r"(?P<note>\s+note)?$", re.I)
 _ACT = re.compile(r"^(?:the\s+)?(?:act\s+of\s+)?(?P<date>[a-z]+\.?\s+\d{1,2},\s*\d{4}|\d{4}-\d{2}-\d{2}),?\s*\(?" + _CHAPTER + r"\)?", re.I)
 _ON_PAGE = re.compile(rf"^{_CHAPTER},?\s*(?=\d)", re.I)
 _BARE = re.compile(r"^(?P<c>\d{1,3})\s*-\s*(?P<n>\d+)$")
-#: The letters of a hierarchy level in an identifier.
-LEVELS = {"div": "d", "division": "d", "title": "t", "subtitle": "st", "chapter": "ch", "subchapter": "sch", "part": "p", "subpart": "sp"}
-_LEVEL = re.compile(r"\b(" + "|".join(sorted(LEVELS, key=len, reverse=True)) + r")\b\.?\s+([0-9A-Z]+)\b", re.I)
+#: The letters of a hierarchy level in an identifier, by the beginning of its name and what abbreviates it.
+LEVELS = {"div(?:ision)?": "d", "subtit(?:le)?": "st", "title": "t", "subch(?:ap(?:ter)?)?": "sch", "ch(?:ap(?:ter)?)?": "ch", "subp(?:ar)?t": "spt", "p(?:ar)?t": "pt"}
+_LEVEL = re.compile("(?:" + "|".join(f"({name})" for name in LEVELS) + r")\.?\s+(?P<num>[0-9A-Za-z]+)", re.I)
+#: A date, and fixed values: pieces that say when or how a law changed and not where it is.
+_WHEN = re.compile(r"\(?\b(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + r"|sept)\.?\s+\d{1,2},\s*\d{4}\)?|\(?\b\d{4}-\d{2}-\d{2}\b\)?", re.I)
+_HISTORY = re.compile(r"as\s+(?:amended|added|redesignated|renumbered|revised)\b(?:\s+by\b.*)?|(?:formerly|renumbered|effective|eff)\b.*", re.I)
 _PATH = re.compile(r"/us/(pl|pvtl|act|stat|sComp|usc)/\S+$")
 
 
@@ -40,23 +48,44 @@ def _date(text: str) -> str | None:
 
 
 def _tail(rest: str) -> tuple[str, bool] | None:
-    """(path below the law, note) of what stands around a law in its citation; None if some of it can't be read.
+    """(path below the law, note) of the pieces around a law in its citation; None if one of them says nothing that is known.
 
-    A section stands for its levels; without one the levels make the path. Of several sections the first counts;
-    the law's page says nothing more.
+    Pieces are what commas and semicolons outside parentheses part. A section stands for its levels; without one the
+    levels make the path. One section and one page may be given; dates, years and the law's history say nothing.
     """
-    note = re.search(r"\bnote\b", rest, re.I) is not None
-    rest = _PAGE.sub(" ", re.sub(r"\bnote\b", " ", rest, flags=re.I))
-    path = ""
-    if m := _SECTION.search(rest):
-        num = m["num"].split("-")[0] if m["mark"].startswith("§§") or m["mark"].lower().startswith("secs") else m["num"]
-        path = f"/s{num}" + "".join("/" + x for x in re.findall(r"\(([0-9A-Za-z]+)\)", m["sub"]))
-        rest = rest[: m.start()] + " " + rest[m.end() :]
-    levels = _LEVEL.findall(rest)
-    rest = _LEVEL.sub(" ", rest)
-    if re.sub(r"\b(?:of|the)\b|[\s,()]", "", rest, flags=re.I):
-        return None
-    return path or "".join("/" + LEVELS[k.lower()] + v for k, v in levels), note
+    section, note, page, levels = None, False, False, []
+    for piece in re.split(r"[,;](?![^()]*\))", _WHEN.sub(" ", rest)):
+        piece = piece.strip(" .:")
+        if not piece or re.fullmatch(r"\(\d{4}\)", piece) or _HISTORY.fullmatch(piece):
+            continue
+        if section is None and (m := _SECTION.fullmatch(piece)):
+            plural = m["mark"].startswith("§§") or m["mark"].lower().rstrip(".").endswith("s")
+            section = f"/s{m['num'].split('-')[0] if plural else m['num']}" + _below(m["sub"])
+            note = note or bool(m["note"])
+        elif m := _LEVEL.fullmatch(piece):
+            levels.append("/" + list(LEVELS.values())[next(i for i, g in enumerate(m.groups()) if g)] + m["num"])
+        elif not page and _PAGE.fullmatch(piece):
+            page = True
+        elif piece.lower() == "note":
+            note = True
+        else:
+            return None
+    return section or "".join(levels), note
+
+
+def _below(sub: str | None) -> str:
+    return "".join("/" + x for x in re.findall(r"\(([0-9A-Za-z]+)\)", sub or ""))
+
+
+def _unwrapped(text: str) -> str:
+    """Without quotes, brackets and stops around it, and without a pair of parentheses around all of it."""
+    while True:
+        out = text.strip(" .,;\"'[]“”‘’")
+        if out[:1] == "(" and out[-1:] == ")" and "(" not in out[1:-1] and ")" not in out[1:-1]:
+            out = out[1:-1]
+        if out == text:
+            return out
+        text = out
 
 
 def _path(text: str) -> str | None:
@@ -74,7 +103,8 @@ def _path(text: str) -> str | None:
 def parse(text: str | None) -> tuple[str | None, str | None, bool | None]:
     """(kind, identifier, note) of a written citation; kind is the identifier's root; all None for what is none."""
     none = (None, None, None)
-    t = re.sub("[\u2010-\u2015]", "-", re.sub(r"\s+", " ", text or "")).strip(" .;")
+    t = re.sub("[\u2010-\u2015]", "-", re.sub(r"\s+", " ", text or ""))
+    t = _unwrapped(t)
     if not t:
         return none
     if re.match("/?us/", t):
@@ -82,18 +112,18 @@ def parse(text: str | None) -> tuple[str | None, str | None, bool | None]:
         return (path.split("/")[2], path, False) if path else none
     if m := _CODE.match(t):
         title = m["t"].lower() + ("a" if m["app"] else "")
-        below = "".join("/" + x for x in re.findall(r"\(([0-9A-Za-z]+)\)", m["sub"] or ""))
-        return ("usc", f"/us/usc/t{title}" + (f"/s{m['num']}{below}" if m["num"] else ""), bool(m["note"]))
+        return ("usc", f"/us/usc/t{title}" + (f"/s{m['num']}{_below(m['sub'])}" if m["num"] else ""), bool(m["note"]))
     if (m := _LAW.search(t) or _BARE.match(t)) is not None:
         kind = "pvtl" if (m.groupdict().get("kind") or "p").lower() in ("priv", "private", "pvt") else "pl"
-        tail = _tail(t[: m.start()] + " " + t[m.end() :])
+        before = re.fullmatch(r"(?:(?P<what>.*?),?\s*\bof\s+)?(?:the\s+)?", t[: m.start()], re.I)
+        tail = _tail(f"{before['what'] or ''},{t[m.end() :]}") if before else None
         return (kind, f"/us/{kind}/{int(m['c'])}/{int(m['n'])}{tail[0]}", tail[1]) if tail and int(m["c"]) and int(m["n"]) else none
     if m := _ACT.match(t):
         day, tail = _date(m["date"]), _tail(t[m.end() :])
         return ("act", f"/us/act/{day}/ch{int(m['ch'])}{tail[0]}", tail[1]) if day and tail else none
     # a chapter on a page is cited by the page
-    t = re.sub(rf",\s*{_CHAPTER}", "", _ON_PAGE.sub("", t), flags=re.I)
-    if (m := _PAGE.match(t)) and _tail(t[m.end() :]) is not None:
+    t = re.sub(rf",\s*{_CHAPTER}$", "", _ON_PAGE.sub("", t), flags=re.I)
+    if (m := _PAGE.match(t)) and (more := _MORE_PAGES.match(t, m.end())) and _tail(t[more.end() :]) == ("", False):
         return ("stat", f"/us/stat/{m['v'].upper()}/{m['p'].lower()}", False)
     return none
 
