@@ -1,5 +1,8 @@
 """License scans: phrases that stand in a text, and an exact set-similarity join of text blocks with licence templates.
 
+A block that meets a template must also hold the words by which its licence is told from others (see NAMES, OTHERS): short
+sentences differ in one word, and 0.8 of them is all but that.
+
 Blocks are sets of words (see WORDS; A-Z in lower case): the lines of a text, and around each line break, for a notice
 wrapped over lines, the words before and after it that a run across it can hold. A run for a template of n words has
 n / threshold words at most, so a template's block has n / threshold - 1 words on each side, whatever further breaks lie
@@ -46,8 +49,19 @@ TEMPLATES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("reserved", "Copyright. All rights reserved."),
+    ("apache-2.0", "Released under the Apache License."),
+    ("bsd", "Released under the BSD License."),
+    ("mpl-2.0", "Released under the Mozilla Public License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *((label, f"SPDX-License-Identifier: {name}") for label, name in (("mit", "MIT"), ("apache-2.0", "Apache-2.0"), ("bsd", "BSD-3-Clause"), ("mpl-2.0", "MPL-2.0"), ("cc-by", "CC-BY-4.0"), ("cc-by-sa", "CC-BY-SA-4.0"))),
 )
 
+#: What tells a licence from its neighbours, by label: of these words a block must hold those that the template holds ...
+NAMES = {"mit": "mit", "apache-2.0": "apache", "gpl": "gnu", "lgpl": "lesser", "cc-by": "cc by attribution", "cc-by-nc": "nc noncommercial", "cc-by-sa": "sa sharealike", "bsd": "bsd", "mpl-2.0": "mozilla mpl", "reserved": "reserved"}
+#: ... and none of these.
+OTHERS = {"cc-by": "nc noncommercial sa sharealike nd noderivatives", "cc-by-nc": "sa sharealike nd noderivatives", "cc-by-sa": "nc noncommercial nd noderivatives"}
+
 
 def words_of(text: str) -> list[str]:
     return [w for w in re.split(BREAKS, text.lower()) if w]
@@ -69,7 +83,12 @@ def once(value: Column, use) -> Column:
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
-    return sorted({w for _, t in templates for w in words_of(t)})
+    return sorted({w for label, t in templates for w in [*words_of(t), *OTHERS.get(label, "").split()]})
+
+
+def telling(label: str, text: str) -> tuple[list[str], list[str]]:
+    """The words that a block must hold, and those that it must not, to be of the template."""
+    return sorted(set(words_of(text)) & set(NAMES.get(label, "").split())), OTHERS.get(label, "").split()
 
 
 def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
@@ -93,15 +112,17 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFr
     for label, text in templates:
         ranks = sorted({rank[w] for w in words_of(text)})
         need = max(1, math.ceil(exact * len(ranks)))
-        rows.append((label, ranks, ranks[: len(ranks) - need + 1], need, max(1, math.ceil(len(words_of(text)) / exact) - 1)))
-    array = lambda xs: F.array(*map(F.lit, xs))
-    table = F.array(*(F.struct(F.lit(lb).alias("label"), array(rs).alias("ranks"), array(pre).alias("prefix"), F.lit(need).alias("need"), F.lit(side).alias("side")) for lb, rs, pre, need, side in rows))
+        must, no = ([rank[w] for w in ws] for ws in telling(label, text))
+        rows.append((label, ranks, ranks[: len(ranks) - need + 1], need, must, no, max(1, math.ceil(len(words_of(text)) / exact) - 1)))
+    array = lambda xs: F.array(*map(F.lit, xs)).cast("array<int>")
+    words = lambda xs: F.array(*map(F.lit, xs))
+    table = F.array(*(F.struct(F.lit(lb).alias("label"), array(rs).alias("ranks"), array(pre).alias("prefix"), F.lit(need).alias("need"), array(must).alias("must"), array(no).alias("no"), F.lit(side).alias("side")) for lb, rs, pre, need, must, no, side in rows))
     gate = r"(?<![0-9a-z\x80-\x{10FFFF}])(?:" + "|".join(sorted({order[i - 1] for _, _, pre, *_ in rows for i in pre})) + r")(?![0-9a-z\x80-\x{10FFFF}])"
 
     d = docs.withColumn("_low", lowered(F.coalesce("text", F.lit(""))))
     d = d.withColumn("_norm", spaced(F.col("_low")))
     lines = F.when(F.col("_low").rlike(gate), F.filter(F.split("_low", "\n"), lambda x: x.rlike(gate)))
-    rank_of = lambda w: F.array_position(array(order), w).cast("int")
+    rank_of = lambda w: F.array_position(words(order), w).cast("int")
     ranked = lambda x: F.array_sort(F.filter(F.transform(F.array_distinct(F.split(spaced(x), " ")), rank_of), lambda r: r > 0))
     d = d.withColumn("_blocks", F.transform(lines, ranked))
 
@@ -113,7 +134,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFr
             first = F.array_min(F.array_intersect(t["prefix"], block))
             may = (F.size(block) >= t["need"]) & (F.size(block) - F.array_position(block, first) + 1 >= t["need"])
             both = F.size(F.array_intersect(t["ranks"], block))
-            return F.struct(t["label"].alias("label"), F.when(F.coalesce(may, F.lit(False)) & (both >= t["need"]), both / F.size(t["ranks"])).alias("share"))
+            told = (F.size(F.array_intersect(t["must"], block)) == F.size(t["must"])) & ~F.coalesce(F.arrays_overlap(t["no"], block), F.lit(False))
+            return F.struct(t["label"].alias("label"), F.when(F.coalesce(may, F.lit(False)) & (both >= t["need"]) & told, both / F.size(t["ranks"])).alias("share"))
 
         return F.filter(F.transform(table, share), lambda m: m["share"].isNotNull())
 
@@ -155,17 +177,17 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFr
 def oracle(threshold: float = 0.8, templates=TEMPLATES) -> str:
     """DuckDB SQL for the columns of `scan`, where no notice is wrapped: every line against every template."""
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    values = ", ".join(f"('{lb}', {quoted(sorted(set(words_of(t))))}, {max(1, math.ceil(Fraction(str(threshold)) * len(set(words_of(t)))))})" for lb, t in templates)
+    values = ", ".join(f"('{lb}', {quoted(sorted(set(words_of(t))))}, {quoted(telling(lb, t)[0])}::VARCHAR[], {quoted(telling(lb, t)[1])}::VARCHAR[], {max(1, math.ceil(Fraction(str(threshold)) * len(set(words_of(t)))))})" for lb, t in templates)
     breaks = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     at = lambda p: f"list_filter(range(1, len(w) + 1), lambda i: array_to_string(w[i:i+{len(p.split()) - 1}], ' ') = '{p}')"
     return f"""
-WITH t(label, ws, need) AS (VALUES {values}),
+WITH t(label, ws, must, others, need) AS (VALUES {values}),
 d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 w AS (SELECT doc_id, low, list_filter(string_split_regex(low, '{breaks}'), lambda x: x <> '') AS w FROM d),
 p AS (SELECT doc_id, low, len(w) AS n, {", ".join(f"{at(p)} AS p{i}" for i, p in enumerate(PHRASES))} FROM w),
 b AS (SELECT doc_id, n, flatten([p0, p1, p2]) AS ps, list_filter([CASE WHEN len(p0) > 0 THEN 'cc-by' END, CASE WHEN len(p1) > 0 THEN 'gpl' END, CASE WHEN len(p2) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS bl FROM p),
 l AS (SELECT doc_id, list_distinct(string_split_regex(unnest(string_split(low, chr(10))), '{breaks}')) AS ws FROM d),
-m AS (SELECT l.doc_id, t.label, len(list_intersect(t.ws, l.ws)) / len(t.ws) AS share FROM l, t WHERE len(list_intersect(t.ws, l.ws)) >= t.need),
+m AS (SELECT l.doc_id, t.label, len(list_intersect(t.ws, l.ws)) / len(t.ws) AS share FROM l, t WHERE len(list_intersect(t.ws, l.ws)) >= t.need AND len(list_intersect(t.must, l.ws)) = len(t.must) AND len(list_intersect(t.others, l.ws)) = 0),
 g AS (SELECT doc_id, list(label) AS ml, max(share) AS share FROM m GROUP BY doc_id)
 SELECT b.doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_base, list_min(ps) - 1 AS first_word, list_max(ps) - 1 AS last_word,
  array_to_string(list_sort(bl), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(ml, [])))), ',') AS labels,

@@ -40,3 +40,16 @@ def test_only_ascii_letters_are_lowered(spark):
     d = spark.createDataFrame([(0, "CC BY"), (1, "K WORK licensed"), (2, "ALL RIGHTS RESERVEDİ"), (3, "All Rights Reserved")], "doc_id long, text string")
     rows = scan(d).orderBy("doc_id").select("n_words", "n_base", "labels").collect()
     assert [tuple(r) for r in rows] == [(2, 1, "cc-by"), (3, 0, ""), (3, 0, ""), (3, 1, "reserved")]
+
+
+NAMED = {
+    "Licensed under CC BY 4.0.": "cc-by", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "Licensed under CC-BY-ND 4.0.": "cc-by",
+    "Released under the MIT License.": "mit", "Released under the Apache License.": "apache-2.0", "Released under the BSD License.": "bsd", "Released under the Foo License.": "",
+    "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: Foo": "",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa", "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+}
+
+
+def test_licences_are_told_apart(spark):
+    """cc-by comes with the base phrase wherever `cc by` stands; the method itself adds the licence named and no neighbour of it."""
+    assert dict(zip(NAMED, (x for x, _ in labels(spark, list(NAMED))), strict=True)) == NAMED
