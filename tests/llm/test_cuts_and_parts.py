@@ -42,7 +42,7 @@ def cut(doc_id, text):
 LINES = [None, "", "\n", "\n\n\n", "one line", "a\nb", "a\nb\n", "é☃😀\n日本\nx < P > <\n", "with <S> inside\nb", "<\nS>\n<P\n>", "".join(f"line {i} é😀\n" for i in range(5000)), "x\n" * 1024, "y" * 300_000 + "\n" + "z" * 300_000]
 
 
-@pytest.mark.parametrize("every", [1, 3, 256])
+@pytest.mark.parametrize("every", [1, 256])
 def test_cuts(spark, every):
     from lawframe.llm.fim import restored, transformed
 
@@ -78,15 +78,18 @@ def test_rates(spark):
 
 
 def hits(text, items, size=10):
-    words, hit, names = [m for m in WORDS.finditer((text or "").translate(UPPER))], set(), set()
+    words, hit, names, windows = list(WORDS.finditer((text or "").translate(UPPER))), set(), set(), {}
     said = [m[0] for m in words]
     for item, t in items:
         w = WORDS.findall((t or "").translate(UPPER))
-        for win in {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} - {()}:
-            for i in range(len(said) - len(win) + 1):
-                if tuple(said[i : i + len(win)]) == win:
-                    hit |= set(range(i, i + len(win)))
-                    names |= set() if item is None else {str(item)}
+        for i in range(max(1, len(w) - size + 1)):
+            windows.setdefault(tuple(w[i : i + size]), set()).add(item)
+    windows.pop((), None)
+    for n in {len(w) for w in windows}:
+        for i in range(len(said) - n + 1):
+            if found := windows.get(tuple(said[i : i + n])):
+                hit |= set(range(i, i + n))
+                names |= {str(x) for x in found - {None}}
     runs = []
     for i in sorted(hit):
         if runs and runs[-1][1] == i - 1:
@@ -198,11 +201,11 @@ def click_rows(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("limit", [1, 7, 40, 5000])
+@pytest.mark.parametrize("limit", [1, 9, 5000])
 def test_layouts(spark, limit):
     from lawframe.llm.timeparts import file_table, moved, new_folder, write_layout
 
-    n = 60 if limit == 1 else 1500
+    n = 30 if limit == 1 else 900
     rows = click_rows(limit, n)
     cut = datetime.datetime(2024, 4, 20)
     df = spark.createDataFrame(rows, "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, leaf string").repartition(7)
@@ -226,7 +229,7 @@ def test_layouts(spark, limit):
         assert [tuple(x.values()) for x in held] == want
         assert not stays or held == before[r["path"]]
     assert sorted(glob.glob(f"{folder.removeprefix('file:')}/**/*.parquet", recursive=True)) == sorted(r["path"].replace("file://", "").replace("file:", "") for r in got)
-    assert limit == 1 or limit == 5000 or 0 < sum(r["rewritten"] for r in got) < len(got)
+    assert limit != 9 or 0 < sum(r["rewritten"] for r in got) < len(got)
 
 
 def test_no_rows(spark):
