@@ -53,7 +53,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("bpe", tokenize)]
 
-#: Near-dedup and BPE are not expressible in SQL; tests hold run() against a brute-force version.
+#: Near-dedup and BPE are not expressible in SQL; tests hold what each stage's rule says on a small table.
 ORACLE_SQL = None
 
 

@@ -23,7 +23,7 @@ def segments(path: Column) -> Column:
 
 def section_number(path: Column) -> Column:
     """The number of the first segment like s12, or null."""
-    return F.get(F.transform(F.filter(segments(path), lambda x: x.rlike("^s[0-9]")), lambda x: F.substring(x, 2, 1000)), F.lit(0))
+    return F.get(F.transform(F.filter(segments(path), lambda x: x.rlike("^s[0-9]")), lambda x: F.substring(x, F.lit(2), F.length(x))), F.lit(0))
 
 
 def below_section(path: Column) -> Column:
