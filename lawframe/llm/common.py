@@ -53,12 +53,18 @@ def removed(table: DataFrame) -> None:
 
 
 def bucketed(df: DataFrame, name: str, by: str, sort: list[str] | None = None) -> DataFrame:
-    """df as a table in the shared folder, bucketed (and sorted) by a column, so that joins on it need no shuffle of this table."""
+    """df as a table in the shared folder, bucketed (and sorted) by a column, so that joins on it need no shuffle of this table.
+
+    The catalog holds it only until its files and buckets are known to the DataFrame; the files stay, as the table is external.
+    """
     spark = df.sparkSession
     name = f"lawframe_{name}_{uuid.uuid4().hex}"
     writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
     (writer.sortBy(*sort) if sort else writer).option("path", f"{shared_dir(spark)}/lawframe/{name}").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def unbucketed(table: DataFrame) -> DataFrame:

@@ -234,3 +234,16 @@ def test_words_of_the_pipeline(spark, rows):
             assert max(Counter(r["doc_id"] for r in after).values()) <= 2
         if name == "bpe":
             assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in after) and re.search("long|int", dict(docs.dtypes)["n_tokens"] + "int")
+
+
+def test_no_tables_stay(spark):
+    """Bucketed tables are read after their names are gone, and joins on them are still without a shuffle of them."""
+    from lawframe.llm.common import bucketed
+    from lawframe.llm.linededup import drop_repeats
+
+    docs = spark.createDataFrame([(i, f"line of the document with number {i % 3} that is long enough\nown {i}") for i in range(40)], "doc_id long, text string")
+    assert drop_repeats(docs).where("n_dropped > 0").count() == 37
+    a, b = (bucketed(docs.select("doc_id"), n, "doc_id", ["doc_id"]) for n in "ab")
+    joined = a.join(b.hint("merge"), "doc_id")
+    assert joined.count() == 40 and "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("lawframe_")] == []
