@@ -2,7 +2,8 @@
 
 No name is compared with all titles. A word of a request that no title has meets the titles' words in an equi-join on what
 is left of each when some letters are left out; only pairs that share such a rest have their distance taken. A name then
-meets the titles in an equi-join on its rarest word.
+meets the titles in an equi-join on its rarest word. Words, names and hits are read more than once and are written tables in
+the shared folder.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import osa_distance
+from ..session import written
 
 #: Words in most acts' names; a request of these and of numbers names none.
 GENERIC = ("a", "act", "acts", "an", "and", "for", "in", "law", "laws", "of", "on", "the", "to")
@@ -86,8 +88,8 @@ def matches(requests: DataFrame, comps: DataFrame, laws: DataFrame, limit: int =
     named = named.unionByName(laws.where("id IS NOT NULL").select(F.lit("law").alias("source"), "id", F.explode("titles").alias("t"))).where("t IS NOT NULL").distinct()
     # each distinct title is searched once, however many acts bear it
     titles = named.groupBy("t").agg(F.count("*").alias("n"))
-    known = titles.select("t", "n", F.explode(F.array_distinct(words_of(F.col("t")))).alias("word"))
-    vocabulary = known.groupBy("word").agg(F.sum("n").alias("n"))
+    known = written(titles.select("t", "n", F.explode(F.array_distinct(words_of(F.col("t")))).alias("word")), "title_words")
+    vocabulary = written(known.groupBy("word").agg(F.sum("n").alias("n")), "title_vocabulary")
 
     parts = asked.select("request", "plain", F.posexplode("words").alias("i", "word"))
     missing = parts.select("word").distinct().join(vocabulary, "word", "left_anti")
@@ -97,16 +99,17 @@ def matches(requests: DataFrame, comps: DataFrame, laws: DataFrame, limit: int =
     # a word that no title has makes the request vain: its n is 0 and it meets nothing
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "now"))
     needles = read.groupBy("request", "plain").agg(F.count("right").alias("mended"), words.alias("mend"), rarest["now"].alias("word"))
-    needles = needles.select("request", F.when(F.col("mended") > 0, F.col("mend")).otherwise(F.lower("plain")).alias("needle"), "word")
+    needles = written(needles.select("request", F.when(F.col("mended") > 0, F.col("mend")).otherwise(F.lower("plain")).alias("needle"), "word"), "needles")
     asked_words = needles.select("needle", "word").distinct()
     hits = asked_words.join(known.select("word", "t"), "word").withColumn("score", scores(F.col("needle"), F.col("t"))).where("score <= 2").select("needle", "t", "score")
 
-    of = hits.join(named, "t").groupBy("needle", "source", "id").agg(F.min("score").alias("score"))
+    of = written(hits.join(named, "t").groupBy("needle", "source", "id").agg(F.min("score").alias("score")), "title_hits")
     facts = comps.select("id", "prefix", "title", F.col("partial").isNotNull().alias("part"), "law_id")
     place = F.struct("score", "part", F.lower(F.coalesce("title", F.lit(""))).alias("sort"), "id", "title", "law_id")
     per_prefix = of.where("source = 'comp'").join(facts, "id").groupBy("needle", "prefix").agg(F.min(place).alias("c"))
     best = _first(per_prefix, "c", limit)
     listed = best.select("needle", F.lit(0).alias("after"), "c.score", F.col("k"), F.lit("comp").alias("source"), "c.id", "c.title", "c.law_id")
+    listed = written(listed, "listed_comps")
     taken = listed.where("law_id IS NOT NULL").select("needle", F.col("law_id").alias("id")).distinct()
     law_hits = of.where("source = 'law'").join(taken, ["needle", "id"], "left_anti").select("needle", F.struct("score", "id").alias("c"))
     first_laws = _first(law_hits, "c", limit).select("needle", "c.score", "k", "c.id")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,3 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lawframe-"))
         at = spark.sparkContext.getCheckpointDir()
     return (at if "://" in at or at.startswith("file:") else f"file://{at}").rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in a new folder of the shared one: read as often as needed, computed once, and there if an executor is lost."""
+    path = f"{shared_folder(df.sparkSession)}/lawframe/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
