@@ -95,7 +95,8 @@ def upsert(store: Store, batch: str, records: DataFrame, children: DataFrame, li
     new one; `links` (key, link_id) adds links, which point at the key's row, or at null until there is one.
 
     Aliases: the first claim, by (seq, key), of a name that is free has it. A name of a record that the batch replaces is
-    free from that record's seq on; all others stay with their owners. row_id is the sha256 of the batch and the key, so a rerun gives the same.
+    free from that record's seq on; all others stay with their owners. row_id is a 64-bit hash of the batch and the
+    key, so a rerun gives the same; it tells rows of one key apart and is never looked up without its key.
     The four tables are written from one outcome, which is a written table, and published at once.
     """
     number, listed = store.current()
@@ -111,11 +112,11 @@ def upsert(store: Store, batch: str, records: DataFrame, children: DataFrame, li
     touched = _buckets(came, "key", n)
     old = store.table("records", listed, touched)
     if old is None:
-        old = came.select("key", "n.rank", "n.seq", F.lit("").alias("row_id"), "n.names", "n.body").limit(0)
+        old = came.select("key", "n.rank", "n.seq", F.lit(0).cast("long").alias("row_id"), "n.names", "n.body").limit(0)
     was = old.select("key", F.struct("rank", "seq", "row_id", "names").alias("o"))
     outcome = F.when(F.col("o").isNull(), "new").when(F.col("o.rank") > F.col("n.rank"), "kept").otherwise("replaced")
     marked = came.join(was, "key", "left").withColumn("outcome", outcome)
-    marked = marked.withColumn("row_id", F.when(F.col("outcome") == "kept", F.col("o.row_id")).otherwise(F.sha2(F.concat_ws("\n", F.lit(batch), F.col("key").cast("string")), 256)))
+    marked = marked.withColumn("row_id", F.when(F.col("outcome") == "kept", F.col("o.row_id")).otherwise(F.xxhash64(F.lit(batch), F.col("key").cast("string"))))
     marked.write.parquet(f"{work}/marked")
     marked = spark.read.parquet(f"{work}/marked")
     wins = marked.where("outcome <> 'kept'")
@@ -133,7 +134,7 @@ def upsert(store: Store, batch: str, records: DataFrame, children: DataFrame, li
 
     # links: new ones are added, all of touched keys point at the row that stands
     linked = touched if links is None else sorted({*touched, *_buckets(links.where("key IS NOT NULL"), "key", n)})
-    rows = [x for x in (store.table("links", listed, linked), None if links is None else links.where("key IS NOT NULL").select("key", "link_id", F.lit(None).cast("string").alias("row_id"))) if x is not None]
+    rows = [x for x in (store.table("links", listed, linked), None if links is None else links.where("key IS NOT NULL").select("key", "link_id", F.lit(None).cast("long").alias("row_id"))) if x is not None]
     if rows:
         stand = store.table("records", listed, linked)
         # a null row_id or that of a replaced row: both take the row that stands now

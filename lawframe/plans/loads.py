@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import family
-from ..session import shared_folder
+from ..session import shared_folder, written
 
 #: When the batches end; changes without a time come with the last.
 ENDS = ("2024-02-01", "2024-03-15")
@@ -21,7 +21,7 @@ ENDS = ("2024-02-01", "2024-03-15")
 
 def batches(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, DataFrame, DataFrame | None]]:
     """(batch, records, children, links) of each batch; links come with the first and the last."""
-    changes = spark.read.parquet(f"{sf_dir}/client_changes.parquet").distinct().withColumns({"key": F.col("client_id"), "seq": F.col("change_id")})
+    changes = written(spark.read.parquet(f"{sf_dir}/client_changes.parquet").distinct(), "changes").withColumns({"key": F.col("client_id"), "seq": F.col("change_id")})
     rank = F.when(F.col("source") == "crm", 3).when(F.col("source") == "store", 2).when(F.col("source") == "web", 1).otherwise(0)
     names = F.array(F.concat_ws("/", "city", "segment", F.floor(F.col("balance") / 100)), F.concat(F.lit("c"), F.col("key")))
     records = changes.select("key", rank.alias("rank"), "seq", names.alias("names"), F.struct("op", "segment", "city", "balance").alias("body"), "valid_at")
