@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import actnames, answers, compiled, currencies, loads, operatorsuite, paging, relational, searches, volumeshred
+from . import actnames, answers, compiled, currencies, loads, operatorsuite, paging, relational, searches, streams, summaries, volumeshred
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,8 +27,8 @@ def from_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: from_sql(v) for k, v in relational.SHARED.items()} | operatorsuite.QUERIES | answers.QUERIES | searches.QUERIES | paging.QUERIES | volumeshred.QUERIES | currencies.QUERIES | compiled.QUERIES | loads.QUERIES | actnames.QUERIES
+    return {k: from_sql(v) for k, v in relational.SHARED.items()} | operatorsuite.QUERIES | answers.QUERIES | searches.QUERIES | paging.QUERIES | volumeshred.QUERIES | currencies.QUERIES | compiled.QUERIES | loads.QUERIES | actnames.QUERIES | streams.QUERIES | summaries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.replace("LEFT ANTI JOIN", "ANTI JOIN") for k, v in relational.SHARED.items()} | operatorsuite.ORACLE | answers.ORACLE | searches.ORACLE | paging.ORACLE | volumeshred.ORACLE | currencies.ORACLE | compiled.ORACLE | loads.ORACLE | actnames.ORACLE
+    return {k: v.replace("LEFT ANTI JOIN", "ANTI JOIN") for k, v in relational.SHARED.items()} | operatorsuite.ORACLE | answers.ORACLE | searches.ORACLE | paging.ORACLE | volumeshred.ORACLE | currencies.ORACLE | compiled.ORACLE | loads.ORACLE | actnames.ORACLE | streams.ORACLE | summaries.ORACLE
