@@ -120,9 +120,13 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1)), lambda w: F.xxhash64(w))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def banded(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, bands): key tells the word sequences apart (128 bits), bands are BANDS hashes, none for a text without words."""
-    words = docs.select("doc_id", word_hashes(F.col("text")).alias("w"))
+    """(doc_id, h, key, bands): h tells a doc_id's texts apart, key the word sequences (128 bits), bands are BANDS hashes, none for a text without words."""
+    words = docs.select("doc_id", text_hash(F.col("text")).alias("h"), word_hashes(F.col("text")).alias("w"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,9 +142,9 @@ def banded(docs: DataFrame) -> DataFrame:
                 place = [np.arange(1, len(t) + 1, dtype=np.uint64) for t in texts]
                 key = [np.array([mixed(t * _G + mixed(p)).sum(), mixed(t * _N + mixed(p + _M)).sum()], np.uint64).tobytes() if len(t) else None for t, p in zip(texts, place, strict=True)]
                 bands = [r.view(np.int64) if len(t) else np.zeros(0, np.int64) for r, t in zip(np.ascontiguousarray(h), texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "key", "bands"])
 
-    return words.mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>")
+    return words.mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, key binary, bands array<long>")
 
 
 #: Members of one centre that are compared in one group of rows.
@@ -148,9 +152,9 @@ SHARE = 1000
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, n, s, c): a text's shingles, sorted, as 64-bit integers; their counts as 32-bit integers, null if all are 1; n is the sum of counts."""
-    words = docs.select(F.col("doc_id").alias("id"), word_hashes(F.col("text")).alias("w"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """(id, n, s, c) of texts (id, text): a text's shingles, sorted, as 64-bit integers; their counts as 32-bit integers, null if all are 1; n is the sum of counts."""
+    words = docs.select("id", word_hashes(F.col("text")).alias("w"))
+    kind = docs.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,22 +322,30 @@ def classes(docs: DataFrame, least: float = 0.8, rounds: int = 6, worth: float =
 
     Classes are the connected components of links at `least` or more; texts with the same words in the same order are in
     one class, whatever their case and white space. A text without words (null, empty) is a class of its own. Rows that
-    repeat a doc_id should be one document; of different texts under one doc_id each is compared, and they share a class.
+    repeat a doc_id are one document: each of its different texts is compared, and all that they link to is one class.
     A null doc_id has no class and no row. Other columns are not read. No rows: no rows.
     """
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     signed = written(banded(docs), "bands")
     keyed = signed.where(F.col("key").isNotNull())
-    reps = written(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "reps")
+    # a word sequence is one node, with a number of its own and the text that has its smallest (doc_id, h) to read it from
+    first = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.min_by("bands", F.struct("doc_id", "h")).alias("bands"))
+    reps = written(first.select("key", F.monotonically_increasing_id().alias("rep"), F.col("at.doc_id").alias("doc_id"), F.col("at.h").alias("h"), "bands"), "reps")
     places = reps.select("rep", F.explode("bands").alias("bucket"))
     sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(places.join(sizes, "bucket"), "members")
     met = written(members.groupBy("rep").agg(F.sum("size").alias("deg")), "met")
     buckets = written(members.join(met, "rep").select("bucket", "rep", "deg"), "buckets")
     removed(members)
-    involved = docs.join(small(met.select(F.col("rep").alias("doc_id")), MOST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = written(reps.join(met, "rep", "left_semi").select(F.col("rep").alias("id"), "doc_id", "h"), "wanted")
+    involved = docs.withColumn("h", text_hash(F.col("text"))).join(small(wanted, MOST_IDS), ["doc_id", "h"]).select("id", "text").dropDuplicates(["id"])
     sets = written(shingle_sets(involved), "sets")
     labels = Labels()
+    # several texts under one doc_id are tied
+    tied = keyed.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc_id", "lo")
+    numbers = reps.select("key", "rep")
+    ties = keyed.join(tied, "doc_id").where("key <> lo").select("lo", "key").distinct().join(numbers, "key").select("lo", F.col("rep").alias("b"))
+    labels.add(written(ties.join(numbers, ties["lo"] == numbers["key"]).select(F.col("rep").alias("a"), "b"), "ties"))
     _centre_rounds(buckets, sets, labels, least, rounds, worth)
     named = labels.of(buckets, "rep", "label")
     mixed_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
@@ -341,9 +353,11 @@ def classes(docs: DataFrame, least: float = 0.8, rounds: int = 6, worth: float =
     pairs = prefix_pairs(sets.join(open_.select("id"), "id", "left_semi"), open_, least)
     labels.add(written(links(pairs, sets, least), "links"))
     removed(sets), removed(buckets)
-    out = signed.select("doc_id", "key").join(reps.select("key", "rep"), "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    # several texts under one doc_id tie their classes
-    out = labels.of(out, "rep", "class_id")
+    # labels are numbers of nodes; a class is named by its smallest doc_id
+    named = labels.of(reps.select("key", "rep", "doc_id"), "rep", "label")
+    smallest = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    classed = named.join(smallest, "label").select("key", "class_id")
+    out = signed.select("doc_id", "key").join(classed, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
