@@ -21,9 +21,45 @@ def longest_prefix(requests: DataFrame, request: str, units: DataFrame, path: st
     return requests.join(hits, request, "left").withColumn("exact", F.coalesce(F.col("matched") == F.col(request), F.lit(False)))
 
 
+#: Pairs that a task of `any_of` makes, and the ways in which a value's left rows are dealt among tasks.
+PAIRS, WAYS = 4_000_000, 64
+
+
 def any_of(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, Column]], keep: list[str]) -> DataFrame:
-    """left joined with right where any of the equalities holds: a union of equi-joins, without repeats of `keep`."""
-    return reduce(DataFrame.union, [left.join(right, a == b).select(*keep) for a, b in pairs]).distinct()
+    """left joined with right where any of the equalities holds: a union of equi-joins, without repeats of `keep`.
+
+    The result may be as many rows as left's times right's, so it is never shuffled to drop repeats. Each side has a row per
+    different kept columns, with the values of each equality; a pair comes from the first equality that it meets, at the
+    least value that meets it. Rows of a frequent value are dealt to as many tasks as its pairs ask for.
+    """
+    n = range(len(pairs))
+
+    def side(rows: DataFrame, of: int) -> DataFrame:
+        mine = [c for c in keep if c in rows.columns]
+        values = rows.select(*mine, *(p[of].alias(f"_{of}{i}") for i, p in enumerate(pairs)))
+        return values.groupBy(*mine).agg(*(F.array_sort(F.collect_set(f"_{of}{i}")).alias(f"_{of}{i}") for i in n))
+
+    def meet(i: int) -> Column:
+        a, b = F.col(f"_0{i}"), F.col(f"_1{i}")
+        one = (F.size(a) == 1) & (F.size(b) == 1)
+        return F.when(one, F.get(a, F.lit(0)) == F.get(b, F.lit(0))).otherwise(F.coalesce(F.arrays_overlap(a, b), F.lit(False)))
+
+    def joined(i: int) -> DataFrame:
+        a = sides[0].withColumn("_k", F.explode(f"_0{i}"))
+        b = sides[1].withColumn("_k", F.explode(f"_1{i}"))
+        made = a.groupBy("_k").agg(F.count("*").alias("x")).join(b.groupBy("_k").agg(F.count("*").alias("y")), "_k").agg(F.sum(F.col("x").cast("double") * F.col("y")), F.max(F.col("x").cast("double") * F.col("y"))).first()
+        if (made[1] or 0) > PAIRS:
+            a = a.withColumn("_way", F.pmod(F.xxhash64(*keep_of[0]), F.lit(WAYS)).cast("int"))
+            b = b.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1)))).hint("shuffle_hash")  # a task's share is small; the whole, repeated, is too much to broadcast
+            a = a.repartition(int(min(made[0] // PAIRS + WAYS, 4000)), "_k", "_way")
+        least = (F.size(f"_0{i}") == 1) | (F.size(f"_1{i}") == 1)
+        first = F.when(least, F.lit(True)).otherwise(F.col("_k") == F.array_min(F.array_intersect(f"_0{i}", f"_1{i}")))
+        d = a.join(b, [c for c in ("_k", "_way") if c in a.columns])
+        return d.where(reduce(lambda x, y: x & y, [first, *(~meet(j) for j in range(i))])).select(*keep)
+
+    sides = [side(left, 0), side(right, 1)]
+    keep_of = [[c for c in keep if c in x.columns] for x in (left, right)]
+    return reduce(DataFrame.union, map(joined, n))
 
 
 def cascade(requests: DataFrame, lookups: list[tuple[DataFrame, list[str], str]], name: str) -> DataFrame:
