@@ -6,7 +6,8 @@ page that fails; `walk`, `offset` or `mark`.
 
 offset: `tables.json` names the tables (congress, session, total). A task has a range of places of one table, known from
 the totals alone, and asks for pages from the place it has come to; what a page holds beyond the range is another task's,
-so pages may overlap, be short or long, and come twice. On a stream the offsets are the totals read so far.
+so pages may overlap, be short or long, and come twice. Where no page begins at the place, the one at the multiple of
+`page` before it is read from there on. On a stream the offsets are the totals read so far.
 mark: a chain of pages, each naming the next; the driver follows the marks and tasks read the pages' items. On a stream
 the offset is the mark to go on from; a page is read once it names a next one. A run's first look follows the chain from
 its beginning, as Spark doesn't tell a source where its checkpoint ends; later ones go on from there.
@@ -83,7 +84,13 @@ class Pages:
         return {(int(t["congress"]), int(t["session"])): int(t["total"]) for t in listing.get("tables", [])}
 
     def entries(self, congress: int, session: int, offset: int) -> dict | None:
-        return self.get("entries", congress=congress, session=session, offset=offset, limit=self.page)
+        """The page that begins at the offset; where none does, the rest of the page at the multiple of `page` before it, which may go on that far."""
+        found, over = self.get("entries", congress=congress, session=session, offset=offset, limit=self.page), offset % self.page
+        if found is None and over:
+            before = self.get("entries", congress=congress, session=session, offset=offset - over, limit=self.page) or {}
+            rest = (before.get("items") or [])[over:]
+            return {"items": rest} if rest else None
+        return found
 
     def marked(self, mark: str) -> dict | None:
         return self.get("marks", mark=mark, limit=self.page)

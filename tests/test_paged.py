@@ -149,3 +149,17 @@ def test_chain_ends():
             return {"*": {"next": "a"}, "a": {"next": None}}.get(mark)
 
     assert [p.mark for p in chain(Two(), "*", last=True)[0]] == ["*", "a"] and [p.mark for p in chain(Two(), "*")[0]] == ["*"] and chain(Two(), "*")[1] == "a" and chain(Two(), "x") == ([], "x")
+
+
+def test_long_pages_of_saved_folders(spark, tmp_path):
+    """Each page goes on into the next, and no page begins where one ends: the next multiple's page has the rest."""
+    from pyspark.sql import functions as F
+
+    from lawframe.plans.paging import saved_pages
+
+    spark.dataSource.register(PagedSource)
+    placed = spark.range(95).select(F.lit(1).alias("congress"), F.lit(2).alias("session"), F.col("id").cast("int").alias("place"), F.to_json(F.struct("id")).alias("item"))
+    root = f"file://{tmp_path}/long"
+    saved_pages(placed, root, 20)
+    got = spark.read.format("paged").options(root=root, items="id long", page="20", pages="2").load().collect()
+    assert sorted((r["place"], r["id"], r["total"], r["error"]) for r in got) == [(i, i, 95, None) for i in range(95)]
