@@ -23,14 +23,14 @@ def segments(path: Column) -> Column:
 
 def section_number(path: Column) -> Column:
     """The number of the first segment like s12, or null."""
-    return F.get(F.transform(F.filter(segments(path), lambda x: x.rlike("^s[0-9]")), lambda x: F.substring(x, F.lit(2), F.length(x))), F.lit(0))
+    return F.nullif(F.regexp_extract(path, r"(?s)^(?:[^/]*/)*?s([0-9][^/]*)", 1), F.lit(""))
 
 
 def below_section(path: Column) -> Column:
     """What stands below the section's segment, joined by /; empty if nothing."""
-    parts = segments(path)
-    at = F.array_position(F.transform(parts, lambda x: x.rlike("^s[0-9]")), F.lit(True)).cast("int")
-    return F.when(at > 0, F.array_join(F.slice(parts, at + 1, F.greatest(F.size(parts) - at, F.lit(0))), "/")).otherwise("")
+    rest = F.regexp_extract(path, r"(?s)^(?:[^/]*/)*?s[0-9][^/]*/(.*)$", 1)
+    tidy = F.regexp_replace(F.regexp_replace(rest, "/{2,}", "/"), r"^/|/\z", "")
+    return F.coalesce(F.when(rest.contains("//") | rest.startswith("/") | rest.endswith("/"), tidy).otherwise(rest), F.lit(""))
 
 
 def parsed(path: Column) -> Column:
