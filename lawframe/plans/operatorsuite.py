@@ -11,6 +11,7 @@ from ..functions import identifiers as ids
 from ..functions.citations import cite_parse, osa_distance
 from ..functions.markup import Links, ShredXml, visible_text
 from ..operators import load, resolve, search, sequence, summary
+from ..session import shares
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -117,13 +118,26 @@ def later_amendments(t: Tables) -> DataFrame:
 
     An order given twice with years lo < hi is later than itself, so the first counts too where its years differ.
     """
-    dated = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("y", F.year("o_orderdate")).where("y IS NOT NULL AND l_partkey IS NOT NULL")
-    orders = dated.groupBy("l_partkey", "l_orderkey").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    parts = orders.groupBy("l_partkey").agg(F.count("*").alias("n"), F.min(F.struct("lo", "l_orderkey", "hi")).alias("first"))
+    n = shares(t("lineitem"))
+    lines = t("lineitem").where("l_partkey IS NOT NULL").select("l_orderkey", "l_partkey").repartition(n, "l_orderkey")
+    years = t("orders").select("o_orderkey", F.year("o_orderdate").alias("y")).where("y IS NOT NULL").repartition(n, "o_orderkey")
+    orders = lines.join(years, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey", "l_orderkey").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    # a part's orders first meet in 16 places, so that a frequent part isn't one task's
+    some = orders.withColumn("way", F.pmod(F.xxhash64("l_orderkey"), F.lit(16))).repartition(n, "l_partkey", "way").groupBy("l_partkey", "way").agg(F.count("*").alias("n"), F.min(F.struct("lo", "l_orderkey", "hi")).alias("first"))
+    parts = some.repartition(n, "l_partkey").groupBy("l_partkey").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     later = F.col("n") - (F.col("first.lo") == F.col("first.hi")).cast("int")
     return parts.select("l_partkey", later.alias("later")).where("later > 0")
 
 
+@query()
+def cited_by(t: Tables) -> DataFrame:
+    """The SQL of relational.SHARED with partitions that grow with the table: pairs of part and supplier with their flags, then parts."""
+    n, flags = shares(t("lineitem")), ["A", "N", "R"]
+    held = [F.coalesce(F.max((F.col("l_returnflag") == x).cast("long")), F.lit(0)).alias(x) for x in flags]
+    pairs = t("lineitem").select("l_partkey", "l_suppkey", "l_returnflag").repartition(n, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(*held)
+    return pairs.repartition(n, "l_partkey").groupBy("l_partkey").agg(F.count("l_suppkey").alias("sections"), *(F.sum(x).alias(x.lower()) for x in flags))
+
+
 @query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1""")
 def newest_fold(t: Tables) -> DataFrame:
     return t("events").groupBy("user_id").agg(sequence.newest(F.col("ts"), F.col("event_id"), F.col("event_id")).alias("event_id"))

@@ -64,3 +64,40 @@ def test_cited_by(spark, tables):
     edges = {(part, supplier, flag) for _, _, part, supplier, flag in lines}
     want = sorted((p, len({e[1] for e in edges if e[0] == p}), *(sum(e[0] == p and e[2] == f for e in edges) for f in "ANR")) for p in {e[0] for e in edges})
     assert rows(spark, "cited_by", sf, ["l_partkey", "sections", "a", "n", "r"]) == want != []
+
+
+@pytest.mark.parametrize("query", ["later_amendments", "cited_by", "resolve_unit"])
+def test_tasks_of_one_size(spark, tables, monkeypatch, query):
+    """The last shuffle has more partitions for more rows, however few the session asks for."""
+    from lawframe import session
+    from lawframe.plans import answers, operatorsuite
+
+    _, lines, sf = tables
+    for m in (answers, operatorsuite):
+        monkeypatch.setattr(m, "shares", lambda rows: session.shares(rows, 20))
+    assert catalogue.queries()[query](spark, sf).rdd.getNumPartitions() == -(-len(lines) // 20) > 8
+
+
+def test_parents(spark):
+    from lawframe.operators import resolve
+
+    paths = ["/a", "/a/b", "/a/b/c", "/a/x/y/z", "/q/r/s", "lone", "/a/b/", "/a//d", "/n\n/o", "/n\n"]
+    want = {p: max((u for u in paths if p.startswith(u + "/")), key=len, default=None) for p in paths}
+    for parts in (None, 3):
+        got = resolve.parents(spark.createDataFrame([(p,) for p in [*paths, "/a/b"]], "path string"), parts).collect()
+        assert {r["path"]: r["parent"] for r in got} == want and len(got) == len(paths)
+
+
+def test_section_parts_are_no_lists(spark):
+    """Sections' numbers come from one match of the path, not from lists of its segments, which took most of a task's time."""
+    from pyspark.sql import functions as F
+
+    from lawframe.functions import identifiers as ids
+
+    paths = ["/us/pl/1/2/tI/s3/a/1", "s4", "/x/s5a//b//c/", "/s6/", "/us/sx/7", "/ss8/s9/s10/z", None, "", "//s1/\n", "/a\nb/s2/c\nd/"]
+    segs = [[x for x in (p or "").split("/") if x] for p in paths]
+    at = [next((i for i, x in enumerate(s) if x[0] == "s" and x[1:2].isdigit()), None) for s in segs]
+    want = [(p, None if i is None else s[i][1:], "" if i is None else "/".join(s[i + 1 :])) for p, s, i in zip(paths, segs, at, strict=True)]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", ids.section_number(F.col("p")).alias("n"), ids.below_section(F.col("p")).alias("b"))
+    assert [tuple(r) for r in df.collect()] == want
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
