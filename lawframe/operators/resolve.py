@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def path_prefixes(path: Column) -> Column:
     """All cuts of /a/b/c: /a, /a/b, /a/b/c."""
@@ -70,29 +72,44 @@ def cascade(requests: DataFrame, lookups: list[tuple[DataFrame, list[str], str]]
     return out.withColumn(name, F.coalesce(*(F.col(f"_v{i}") for i in range(len(lookups))))).drop(*(f"_v{i}" for i in range(len(lookups))))
 
 
-def resolved(requests: DataFrame, units: DataFrame, aliases: DataFrame, numbered: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    return rows.repartition(parts, *keys) if parts else rows
+
+
+def resolved(requests: DataFrame, units: DataFrame, aliases: DataFrame, numbered: DataFrame, parts: int | None = None) -> DataFrame:
     """(request, rule, path), a row per distinct request: the first of these that finds a unit, else rule `miss`.
 
     exact: a unit's path; alias: a name in aliases (alias, path); prefix: the longest leading part of the request that is a unit;
     number: the last segment as a section of the law in front of it, by numbered (key, path). All candidates of all
-    requests are looked up in one equi-join, as many per request as it has segments and three.
+    requests are looked up in one equi-join, at most as many per request as it has segments and three: leading parts are
+    asked for only at the numbers of segments that units have, which a first pass tells. parts: partitions of the shuffles.
     """
     text = F.col("request")
-    parts = F.split(text, "/")
-    cuts = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda n: F.struct(F.lit("prefix").alias("rule"), (100 - n).alias("rank"), F.array_join(F.slice(parts, 1, n), "/").alias("key")))
-    cuts = F.filter(cuts, lambda c: c["key"] != text)
+    split = F.split(text, "/")
+    depths = sorted(r[0] for r in units.where("path IS NOT NULL").select(F.size(F.split("path", "/"))).distinct().collect())
+    asked_for = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda n: (n >= 2) & (n < F.size(split)))
+    cuts = F.transform(asked_for, lambda n: F.struct(F.lit("prefix").alias("rule"), (100 - n).alias("rank"), F.array_join(F.slice(split, 1, n), "/").alias("key")))
     one = lambda rule, rank, key: F.struct(F.lit(rule).alias("rule"), F.lit(rank).alias("rank"), key.alias("key"))
     wanted = F.concat(F.array(one("exact", 0, text), one("alias", 1, text)), cuts, F.array(one("number", 200, text)))
-    asked = requests.select("request").distinct().withColumn("c", F.explode(wanted)).select("request", "c.*")
+    asked = _dealt(requests.select("request"), parts, "request").distinct().withColumn("c", F.explode(wanted)).select("request", "c.*")
     known = units.select(F.explode(F.array(F.lit("exact"), F.lit("prefix"))).alias("rule"), F.col("path").alias("key"), "path").unionByName(aliases.select(F.lit("alias").alias("rule"), F.col("alias").alias("key"), "path")).unionByName(numbered.select(F.lit("number").alias("rule"), "key", "path"))
-    found = asked.join(known, ["rule", "key"], "left").groupBy("request").agg(F.min(F.when(F.col("path").isNotNull(), F.struct("rank", "path", "rule"))).alias("m"))
+    hits = _dealt(asked, parts, "rule", "key").join(_dealt(known, parts, "rule", "key"), ["rule", "key"], "left")
+    found = _dealt(hits.select("request", "rank", "path", "rule"), parts, "request").groupBy("request").agg(F.min(F.when(F.col("path").isNotNull(), F.struct("rank", "path", "rule"))).alias("m"))
     return found.select("request", F.coalesce("m.rule", F.lit("miss")).alias("rule"), F.col("m.path").alias("path"))
 
 
-def parents(units: DataFrame) -> DataFrame:
-    """(path, parent): the longest proper leading part of each path that is a unit itself; null for roots."""
-    parts = F.split("path", "/")
-    cuts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    asked = units.select("path", F.explode(cuts).alias("cut"))
-    found = asked.join(units.select(F.col("path").alias("cut")).distinct(), "cut").groupBy("path").agg(F.max_by("cut", F.length("cut")).alias("parent"))
-    return units.select("path").distinct().join(found, "path", "left")
+def parents(units: DataFrame, parts: int | None = None) -> DataFrame:
+    """(path, parent): the longest proper leading part of each path that is a unit itself; null for roots. parts: partitions of the shuffles.
+
+    Most units' parent is the path without its last segment, so that is looked up first; only units without it ask for all shorter ones.
+    """
+    own = written(_dealt(units.select("path"), parts, "path").distinct(), "paths")
+    key = own.select(F.col("path").alias("cut"), F.col("path").alias("parent"))
+    cut = F.when(F.col("path").contains("/"), F.regexp_extract("path", "(?s)^(.*)/", 1))
+    near = written(_dealt(own.withColumn("cut", cut), parts, "cut").join(_dealt(key, parts, "cut").hint("shuffle_hash"), "cut", "left").select("path", "parent"), "parents")
+    rest = near.where("parent IS NULL").select("path")
+    split = F.split("path", "/")
+    cuts = F.when(F.size(split) > 2, F.transform(F.sequence(F.lit(1), F.greatest(F.size(split) - 2, F.lit(1))), lambda n: F.array_join(F.slice(split, 1, n), "/")))
+    asked = rest.select("path", F.explode(cuts).alias("cut"))
+    found = asked.join(key, "cut").groupBy("path").agg(F.max_by("parent", F.length("parent")).alias("parent"))
+    return near.where("parent IS NOT NULL").unionByName(rest.join(found, "path", "left"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
 from ..operators import load, resolve
+from ..session import shares
 from ..streaming import buckets, polls
 
 QUERIES: dict[str, Callable] = {}
@@ -47,12 +48,13 @@ SELECT DISTINCT r.request, CASE kind WHEN 0 THEN 'exact' WHEN 1 THEN CASE WHEN a
 FROM r LEFT JOIN a ON kind = 1 AND a.alias = r.request LEFT JOIN l ON l.o_orderkey = a.k""")
 def resolve_unit(t: Tables) -> DataFrame:
     laws = t("orders").select("o_orderkey", "o_custkey", law_path().alias("path"))
-    lines = t("lineitem").join(laws, F.col("l_orderkey") == F.col("o_orderkey"))
+    parts = shares(t("lineitem"))
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").repartition(parts, "l_orderkey").join(laws.select("o_orderkey", "path").repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     n, k = F.col("l_linenumber") % 5, F.col("l_orderkey")
     say = F.when(n == 0, F.col("path")).when(n == 1, F.concat(F.lit("/act/"), "l_partkey")).when(n == 2, F.concat("path", F.lit("/x/"), "l_linenumber")).when(n == 3, F.concat(F.lit("/us/sec/"), k, F.lit("/s"), "l_linenumber")).otherwise(F.concat(F.lit("/none/"), k))
-    aliases = laws.groupBy(F.concat(F.lit("/act/"), "o_custkey").alias("alias")).agg(F.min_by("path", "o_orderkey").alias("path"))
-    numbered = lines.select(F.concat(F.lit("/us/sec/"), k, F.lit("/s"), "l_linenumber").alias("key"), "path").distinct()
-    return resolve.resolved(lines.select(say.alias("request")), laws.select("path"), aliases, numbered)
+    aliases = laws.repartition(parts, F.concat(F.lit("/act/"), "o_custkey")).groupBy(F.concat(F.lit("/act/"), "o_custkey").alias("alias")).agg(F.min_by("path", "o_orderkey").alias("path"))
+    numbered = lines.select(F.concat(F.lit("/us/sec/"), k, F.lit("/s"), "l_linenumber").alias("key"), "path").repartition(parts, "key").distinct()
+    return resolve.resolved(lines.select(say.alias("request")), laws.select("path"), aliases, numbered, parts)
 
 
 @query(f"""
@@ -60,9 +62,10 @@ WITH {LAWS}, u AS (SELECT path AS p, 1 AS lv FROM l UNION SELECT DISTINCT path |
 SELECT p AS path, CASE lv WHEN 0 THEN NULL ELSE regexp_replace(p, '/[^/]+$', '') END AS parent FROM u""")
 def toc_parent(t: Tables) -> DataFrame:
     laws = t("orders").select("o_orderkey", "o_orderdate", law_path().alias("path"))
-    sections = laws.join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat("path", F.lit("/s"), "l_linenumber").alias("path"))
+    parts = shares(t("lineitem"))
+    sections = laws.select("o_orderkey", "path").repartition(parts, "o_orderkey").join(t("lineitem").select("l_orderkey", "l_linenumber").repartition(parts, "l_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat("path", F.lit("/s"), "l_linenumber").alias("path"))
     years = laws.select(F.concat(F.lit("/us/pl/"), F.year("o_orderdate")).alias("path"))
-    return resolve.parents(laws.select("path").unionByName(sections).unionByName(years).distinct())
+    return resolve.parents(laws.select("path").unionByName(sections).unionByName(years.distinct()), parts)
 
 
 @query("""
