@@ -366,7 +366,7 @@ s AS (SELECT count(*) AS n, avg(dl) AS mean FROM l), df AS (SELECT term, count(*
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
 FROM f JOIN l USING (doc_id) JOIN df USING (term) CROSS JOIN s WHERE term IN ('license', 'rights') GROUP BY doc_id""")
 def search_bm25(t: Tables) -> DataFrame:
-    return search.bm25(search.tokens(t("documents"), "doc_id", "text"), "doc_id", ["license", "rights"]).select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(t("documents"), "doc_id", "text", ["license", "rights"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 # time

@@ -174,3 +174,18 @@ def test_fragments(spark):
 
 def test_queries_say_something(spark):
     assert set(searches.QUERIES) == set(searches.ORACLE)
+
+
+def test_bm25_shuffles_counts(spark):
+    """Rows that repeat a key are one document; keys without terms count for nothing; no row per term is made."""
+    from math import log
+
+    from lawframe.operators import search
+
+    docs = [(1, "A b b"), (1, "a c"), (2, "b"), (3, None), (4, "..."), (None, "a b"), (5, "x y z")]
+    got = search.bm25(spark.createDataFrame(docs, "k long, t string"), "k", "t", ["a", "b", "b"])
+    n, mean = 4, (5 + 1 + 2 + 3) / 4
+    part = lambda df, tf, dl: log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))
+    want = {1: part(2, 2, 5) + part(3, 2, 5), 2: part(3, 1, 1)}
+    assert {r["k"]: round(r["score"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
