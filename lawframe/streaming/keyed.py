@@ -1,8 +1,9 @@
 """Token buckets as keyed state of a stream: requests wait for the watermark, timers settle them in order and sweep full buckets.
 
 The rules of a bucket are those of `buckets.settle`. A request that comes out of order must not be settled before an earlier
-one of its key, so each waits until no earlier one can come (the watermark has passed it). Waiting requests lie in slots
-of time, of which one at a time is read; a key's state is its bucket and what waits, and goes when the bucket is full again.
+one of its key, so each waits until no earlier one can come (the watermark has passed it). A key's state is its bucket and
+what waits, and goes when the bucket is full again. Each look at the state is a call to the JVM, so a key's bucket and its
+waiting requests are one value; of a key with more than FEW of them, they lie in slots of time, of which one at a time is read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .buckets import settle
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLOT = 86_400_000_000
 CHUNK = 100_000
+FEW = 4_096
 
 
 class Settle(StatefulProcessor):
@@ -31,54 +33,81 @@ class Settle(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.bucket = handle.getValueState("bucket", "tokens double, last long")
-        self.waiting = handle.getMapState("waiting", "slot long", "requests binary")
+        # waiting: (us, id) of requests, unless they lie in slots; timer: the next time that is registered
+        self.state = handle.getValueState("state", "tokens double, last long, waiting binary, slots boolean, timer long")
+        self.slots = handle.getMapState("waiting", "slot long", "requests binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first, asked = None, ((r.us, r.id) for r in rows if r.id is not None)
+        first, asked, held = None, ((r.us, r.id) for r in rows if r.id is not None), None
         while chunk := list(islice(asked, CHUNK)):
             came = np.array(chunk, np.int64)
-            slots = came[:, 0] // SLOT
-            for slot in np.unique(slots).tolist():
-                held = self.waiting.getValue((slot,)) if self.waiting.containsKey((slot,)) else None
-                self.waiting.updateValue((slot,), ((bytes(held[0]) if held else b"") + came[slots == slot].tobytes(),))
+            if held is None:
+                held = self.state.get() or (self.capacity, None, b"", False, None)
+                tokens, last, waiting, slotted, timer = held
+                waiting = bytes(waiting)
             low = int(came[:, 0].min())
             first = low if first is None else min(first, low)
+            waiting += came.tobytes()
+            if slotted or len(waiting) > 16 * FEW:
+                self.put(np.frombuffer(waiting, np.int64).reshape(-1, 2))
+                waiting, slotted = b"", True
         if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
+            if timer is None or first // 1000 + 1 < timer:
+                timer = first // 1000 + 1
+                self.handle.registerTimer(timer)
+            self.state.update((tokens, last, waiting, slotted, timer))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = self.bucket.get()
-        tokens, last = (held[0], held[1]) if held else (self.capacity, None)
-        rest = None
-        for slot in sorted(k[0] for k in self.waiting.keys()):
+    def put(self, came: np.ndarray) -> None:
+        slots = came[:, 0] // SLOT
+        for slot in np.unique(slots).tolist():
+            held = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
+            self.slots.updateValue((slot,), ((bytes(held[0]) if held else b"") + came[slots == slot].tobytes(),))
+
+    def due(self, waiting: bytes, slotted: bool, until: int) -> Iterator[tuple[np.ndarray, int | None, bytes]]:
+        """Stretches of what the watermark has passed, in order, and what is left then: the earliest, and those outside of slots."""
+        if not slotted:
+            here = np.frombuffer(waiting, np.int64).reshape(-1, 2)
+            here = here[np.lexsort((here[:, 1], here[:, 0]))]
+            n = int(np.searchsorted(here[:, 0], until, "right"))
+            yield here[:n], int(here[n, 0]) if n < len(here) else None, here[n:].tobytes()
+            return
+        for slot in sorted(k[0] for k in self.slots.keys()):
             if slot * SLOT > until:
-                rest = slot * SLOT if rest is None else rest
-                break
-            here = np.frombuffer(bytes(self.waiting.getValue((slot,))[0]), np.int64).reshape(-1, 2)
+                yield np.empty((0, 2), np.int64), slot * SLOT, b""
+                return
+            here = np.frombuffer(bytes(self.slots.getValue((slot,))[0]), np.int64).reshape(-1, 2)
             here = here[np.lexsort((here[:, 1], here[:, 0]))]
-            due = here[:, 0] <= until
-            for us, ident in here[due].tolist():
+            n = int(np.searchsorted(here[:, 0], until, "right"))
+            if n == len(here):
+                self.slots.removeKey((slot,))
+            elif n:
+                self.slots.updateValue((slot,), (here[n:].tobytes(),))
+            yield here[:n], int(here[n, 0]) if n < len(here) else None, b""
+            if n < len(here):
+                return
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        held = self.state.get()
+        if held is None:  # settled and swept by another of the key's timers
+            return
+        tokens, last, waiting, slotted, timer = held
+        rest, left = None, b""
+        for due, rest, left in self.due(bytes(waiting), slotted, until):
+            for us, ident in due.tolist():
                 tokens, wait = settle(tokens, 0.0 if last is None else (us - last) / 1e6, self.capacity, self.per_second)
                 last = us
                 yield Row(key=key[0], us=us, id=ident, wait=wait)
-            if due.all():
-                self.waiting.removeKey((slot,))
-            else:
-                self.waiting.updateValue((slot,), (here[~due].tobytes(),))
-                rest = int(here[~due][0, 0])
-                break
-        full = last is None or tokens + (until - last) / 1e6 * self.per_second >= self.capacity
-        if full:
-            self.bucket.clear()
-        else:
-            self.bucket.update((tokens, last))
-        if rest is not None:
-            self.handle.registerTimer(max(rest // 1000, until // 1000) + 1)
-        elif not full:
-            self.handle.registerTimer(max(int((last + (self.capacity - tokens) / self.per_second * 1e6) // 1000), until // 1000) + 1)
+        slotted = slotted and rest is not None
+        if rest is None and (last is None or tokens + (until - last) / 1e6 * self.per_second >= self.capacity):
+            self.state.clear()
+            return
+        following = max(rest // 1000 if rest is not None else int((last + (self.capacity - tokens) / self.per_second * 1e6) // 1000), until // 1000) + 1
+        if timer is None or timer * 1000 <= until or following < timer:
+            timer = following
+            self.handle.registerTimer(timer)
+        self.state.update((tokens, last, left, slotted, timer))
 
 
 def limited(requests: DataFrame, capacity: float, per_second: float, delay: str) -> DataFrame:
