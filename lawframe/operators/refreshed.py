@@ -67,8 +67,9 @@ def stamps(spark: SparkSession, folder: str) -> dict[str, str]:
 
 def partial(rows: DataFrame, branch: Branch) -> DataFrame:
     """(part, key, ...): the branch's partial states of each partition that rows come from."""
-    # the path comes URL-encoded; + stands for itself there
-    part = F.url_decode(F.replace(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1), F.lit("+"), F.lit("%2B")))
+    # the path comes URL-encoded; + stands for itself there. It is looked at for each row, so it is decoded only where it must be
+    name = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
+    part = F.when(F.contains(name, F.lit("%")), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(name)
     mine = rows.where(branch.where).withColumns({"_part": part, "_key": F.expr(branch.key)}).where("_key IS NOT NULL")
     if branch.distinct:
         return mine.select(F.col("_part").alias("part"), F.col("_key").alias("key"), F.expr(branch.distinct).alias("value")).where("value IS NOT NULL").distinct()
