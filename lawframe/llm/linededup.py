@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, bucketed, carried, unbucketed, written
+from .common import BLANK, bucketed, carried, removed, swept, unbucketed, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -44,7 +44,7 @@ class LineRuns:
     """Levelled sorted runs in the shared folder. Held here: only the lists of tables, by level."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels, self.repeats = spark, fanout, [], []
+        self.spark, self.fanout, self.levels, self.repeats, self.last = spark, fanout, [], [], None
 
     @property
     def runs(self) -> list[DataFrame]:
@@ -59,29 +59,51 @@ class LineRuns:
 
     def compact(self, level: int) -> None:
         """Merges the runs of a level, which share no line, into one run of the next."""
-        whole = reduce(DataFrame.unionByName, map(unbucketed, self.levels[level]))
+        merging = self.levels[level]
         self.levels[level] = []
-        self._put(whole, level + 1)
+        self._put(reduce(DataFrame.unionByName, map(unbucketed, merging)), level + 1)
+        for run in merging:
+            removed(run)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """batch: (line, doc_id), a row per document and distinct line. Returns the run of the lines that are new, and adds it."""
+        """batch: (line, doc_id), a row per document and distinct line. Returns the run of the lines that are new, and adds it.
+
+        Tables that others stand for leave the disk: a batch once its lines are in its run or the repeats, merged runs and
+        repeats. The run that is returned is a table of its own until the next call.
+        """
+        if self.last is not None:
+            removed(self.last)
+            self.last = None
         run = bucketed(batch.groupBy("line").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last_doc")), "batch", "line", ["line"])
         known = self.runs
         if not known:
             self._put(run, 0)
+            self.last = run
             return run
         fresh = reduce(lambda d, r: d.join(r.select("line").hint("merge"), "line", "left_anti"), known, run)
         fresh = bucketed(fresh, "fresh", "line", ["line"])
         self.repeats.append(bucketed(run.join(fresh.select("line").hint("merge"), "line", "left_anti"), "repeats", "line", ["line"]))
+        removed(run)
         if len(self.repeats) >= self.fanout:
-            self.repeats = [bucketed(merged(self.repeats), "repeats", "line", ["line"])]
+            merging, self.repeats = self.repeats, [bucketed(merged(self.repeats), "repeats", "line", ["line"])]
+            for table in merging:
+                removed(table)
         self._put(fresh, 0)
+        self.last = fresh
         return fresh
 
     def totals(self) -> DataFrame:
         """(line, docs, last_doc) over all runs and repeats."""
         return merged(self.runs + self.repeats)
 
+    def clear(self) -> None:
+        """All tables leave the disk; totals read before are no longer to be had."""
+        last = [] if self.last is None else [self.last]
+        for table in self.runs + self.repeats + last:
+            removed(table)
+        self.levels, self.repeats, self.last = [], [], None
+        swept(self.spark)
+
 
 def merged(runs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, map(unbucketed, runs)).groupBy("line").agg(F.sum("docs").alias("docs"), F.max("last_doc").alias("last_doc"))
@@ -93,11 +115,13 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
 
 
 def shared_lines(table: DataFrame, least_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """(line, docs, last_doc): the lines that at least least_docs documents of table (doc_id, line; no row twice) hold, counted batch by batch in the runs."""
+    """(line, docs, last_doc): the lines that at least least_docs documents of table (doc_id, line; no row twice) hold, counted batch by batch in the runs, as a written table."""
     runs = LineRuns(table.sparkSession, fanout)
     for b in range(batches):
         runs.add(table.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
-    return runs.totals().where(F.col("docs") >= least_docs)
+    shared = written(runs.totals().where(F.col("docs") >= least_docs), "shared", ["line"])
+    runs.clear()
+    return shared
 
 
 def drop_repeats(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
@@ -108,7 +132,7 @@ def drop_repeats(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, ba
     Null or empty text: one empty line. A null doc_id is never the last holder; rows with one doc_id are one document.
     """
     table = written(line_table(docs.select("doc_id", "text"), least_chars).distinct(), "lines")
-    shared = written(shared_lines(table, least_docs, batches, fanout), "shared", ["line"])
+    shared = shared_lines(table, least_docs, batches, fanout)
     gone = table.join(shared, "line").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy("doc_id").agg(F.collect_list("line").alias("gone")).withColumnRenamed("doc_id", "of")
     d = carried(docs, "doc_id", "text")
     d = d.join(gone, d["doc_id"].eqNullSafe(gone["of"]), "left")
