@@ -5,31 +5,40 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..sources import volumes
 
 
+#: Laws in a file, which is compressed and so is read by one task.
+EACH = 10_000
+
+
 def saved_volumes(orders: DataFrame, lines: DataFrame, path: str) -> None:
-    """Writes a law per order, a section per line: every third line shows a page, every fifth part is quoted inside its section."""
-    s = lambda c: F.col(c).cast("string")
-    shown = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit('<page identifier="/us/stat/9/'), s("l_partkey"), F.lit('">[9 STAT.]</page>'))).otherwise("")
-    quoted = F.when(F.col("l_partkey") % 5 == 0, F.lit('<quotedContent><section><num value="99"/><content>quoted</content></section></quotedContent>')).otherwise("")
-    section = F.concat(F.lit('<section><num value="'), s("l_linenumber"), F.lit('">Sec.</num><heading>Part '), s("l_partkey"), F.lit("</heading><content>Words.<sidenote>aside</sidenote>"), quoted, shown, F.lit("</content></section>"))
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    body = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), section.alias("x")))).alias("of"))
+    """Writes a law per order, a section per line: every third line shows a page, every fifth part is quoted inside its section.
+
+    Sections are made once a law's lines are together. They are in the order of number and part; lines that are alike in both give the same section."""
+    s = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+
+    def section(line: Column) -> Column:
+        number, part = s(line["l_linenumber"]), line["l_partkey"]
+        shown = F.when(part % 3 == 0, F.concat(F.lit('<page identifier="/us/stat/9/'), s(part), F.lit('">[9 STAT.]</page>'))).otherwise("")
+        quoted = F.when(part % 5 == 0, F.lit('<quotedContent><section><num value="99"/><content>quoted</content></section></quotedContent>')).otherwise("")
+        return F.concat(F.lit('<section><num value="'), number, F.lit('">Sec.</num><heading>Part '), s(part), F.lit("</heading><content>Words.<sidenote>aside</sidenote>"), quoted, shown, F.lit("</content></section>"))
+
+    body = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("of"))
     laws = orders.join(body, F.col("l_orderkey") == F.col("o_orderkey"))
     xml = F.concat(
         F.lit("<component><pLaw><meta><dc:type>Public Law</dc:type><docNumber>"), s("o_orderkey"), F.lit("</docNumber><congress>"), (F.year("o_orderdate") - 1900).cast("string"), F.lit("</congress></meta><preface>"),
-        F.lit('<page identifier="/us/stat/9/P'), s("o_orderkey"), F.lit('"/></preface><main><title><num value="I">TITLE I</num>'), F.array_join(F.transform("of", lambda x: x["x"]), ""), F.lit("</title></main></pLaw></component>"))
-    laws.select(xml.alias("value")).write.text(path)
+        F.lit('<page identifier="/us/stat/9/P'), s("o_orderkey"), F.lit('"/></preface><main><title><num value="I">TITLE I</num>'), F.array_join(F.transform("of", section), ""), F.lit("</title></main></pLaw></component>"))
+    laws.select(xml.alias("value")).write.option("maxRecordsPerFile", EACH).text(path, compression="gzip")
 
 
 def volume_shred(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
     path = f"{shared_folder(spark)}/lawframe/volumes-{uuid.uuid4().hex}"
     saved_volumes(orders, lines, path)
     units = volumes.units(volumes.laws(spark, path)).where("level = 'section'")
