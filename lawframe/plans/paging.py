@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +26,31 @@ def saved_pages(entries: DataFrame, root: str, page: int = PAGE) -> None:
         with at.open_output_stream(f"{base}/{name}") as f:
             f.write(json.dumps(content).encode())
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A page's entries come one after the other; only one page is held."""
+        now, items, done = None, [], 0
+
+        def save() -> None:
+            put(f"entries-{now[0]}-{now[1]}-{now[2] * page}.json", {"items": items})
+
         for b in batches:
-            for c, s, p, items in zip(b["congress"], b["session"], b["page"], b["items"], strict=True):
-                put(f"entries-{c}-{s}-{p * page}.json", {"items": [json.loads(x["item"]) for x in sorted(items, key=lambda x: x["place"])]})
-            yield b[["congress"]]
+            for c, s, p, item in zip(*(b.column(x).to_pylist() for x in ("congress", "session", "page", "item")), strict=True):
+                if now != (c, s, p):
+                    if items:
+                        save()
+                        done += 1
+                    now, items = (c, s, p), []
+                items.append(json.loads(item))
+        if items:
+            save()
+            done += 1
+        yield pa.RecordBatch.from_pydict({"pages": pa.array([done], pa.int64())})
 
     n, more = F.col("place"), page // 10
     on = F.when((n >= page) & (n % page < more), F.array((n / page).cast("int"), (n / page).cast("int") - 1)).otherwise(F.array((n / page).cast("int")))
-    pages = entries.withColumn("page", F.explode(on)).groupBy("congress", "session", "page").agg(F.collect_list(F.struct("place", "item")).alias("items"))
-    pages.mapInPandas(write, "congress int").write.format("noop").mode("overwrite").save()
+    head = ["congress", "session", "page"]
+    pages = entries.withColumn("page", F.explode(on)).repartition(*head).sortWithinPartitions(*head, "place").select(*head, "item")
+    pages.mapInArrow(write, "pages long").write.format("noop").mode("overwrite").save()
     totals = entries.groupBy("congress", "session").agg(F.count("*").alias("total")).collect()
     put("tables.json", {"tables": [r.asDict() for r in totals]})
 
